@@ -115,7 +115,7 @@ def _settings() -> dict[str, dict[str, Column]]:
             "max_iter": _bounded(500, 1000, 5)},
         "RandomForestClassifier": {
             "n_estimators": _steps("n_samples", 1000, "50", 10000, "200", "100"),
-            "max_features": F.when(_c("n_features") < 10, "all").otherwise("sqrt"),
+            "max_features": F.when(_c("n_features") < 10, "None").otherwise("sqrt"),
             "class_weight": _balanced(),
             "max_depth": F.when(_c("n_samples") < 500, "5").otherwise("10"),
             "min_samples_split": F.when(_c("n_samples") < 500, "20").otherwise("10")},
