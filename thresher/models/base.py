@@ -96,11 +96,32 @@ def as_predictions(df: DataFrame, keep: Sequence[str], proba: Column, classes: S
 
 
 class Fitted:
-    """A trained model."""
+    """A trained model. ``narrow`` ones score a row without a shuffle."""
+    narrow = True
+    classes: Sequence[int] = ()
+
+    def columns(self, df: DataFrame) -> tuple[DataFrame, Column, Column | None, Column | None]:
+        """Narrow models: (rows, probabilities, score, what the decision is taken on)."""
+        raise NotImplementedError
 
     def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """(id, keep..., pred, proba, score) for every row of ``df``."""
-        raise NotImplementedError
+        rows, proba, score, decide = self.columns(df)
+        return as_predictions(rows, keep, proba, self.classes, score, decide)
+
+    def with_probabilities(self, df: DataFrame, out: str) -> DataFrame:
+        rows, proba, _, _ = self.columns(df)
+        return rows.withColumn(out, proba).select(*df.columns, out)
+
+
+# Rows per partition below which more partitions only cost start-up time.
+MIN_PARTITION_ROWS = 20_000
+
+
+def right_sized(train: DataFrame, n: float) -> DataFrame:
+    """Fewer partitions for a small training set, as iterative fits scan it many times."""
+    wanted = max(1, -(-int(n) // MIN_PARTITION_ROWS))
+    return train.coalesce(wanted) if wanted < 64 else train
 
 
 class Model:

@@ -87,7 +87,7 @@ def log_scores(docs: DataFrame, weights: DataFrame, base: DataFrame, keys: Seque
     summed = exploded.join(weights, [*keys, "term"], "left").groupBy(*keys, *carry).agg(
         *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"_s{i}")
           for i in range(n_classes)])
-    out = summed.join(base, keys) if keys else summed.crossJoin(F.broadcast(base))
+    out = summed.join(base, keys)
     jll = F.array(*[F.round(F.col(f"_s{i}") + F.col("base")[i], 6) for i in range(n_classes)])
     return out.select(*keys, *carry, jll.alias("jll"))
 
@@ -130,6 +130,8 @@ class NaiveBayes(Model):
 
 
 class FittedBayes(Fitted):
+    narrow = False
+
     def __init__(self, weights, base, classes, max_features):
         self.weights, self.base = weights.persist(), base.persist()
         self.classes, self.max_features = classes, max_features

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
-from dataclasses import replace
 
 from pyspark.ml.classification import (LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier)
@@ -12,10 +10,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from thresher.models.base import (Context, Fitted, Model, WEIGHT, as_predictions, binary_context,
-                                  in_parallel, normalised, one_hot, argmax_class, weighted)
+from thresher.models.base import (Context, Fitted, Model, WEIGHT, binary_context, in_parallel,
+                                  normalised, one_hot, argmax_class, weighted)
 from thresher.operators.folds import stratified_folds
 
 # (train with 0/1 label and weight, context) -> (rows -> (rows with the new column, column))
@@ -38,7 +36,7 @@ class FittedScores(Fitted):
     def __init__(self, scorers: list[Scorer], classes: Sequence[int], probabilities: bool):
         self.scorers, self.classes, self.probabilities = scorers, classes, probabilities
 
-    def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def columns(self, df: DataFrame):
         names = []
         for i, score in enumerate(self.scorers):
             names.append(f"_score{i}")
@@ -53,7 +51,7 @@ class FittedScores(Fitted):
             proba = decide if s is not None else normalised(decide)
         else:
             proba = one_hot(argmax_class(decide, self.classes), self.classes)
-        return as_predictions(df, keep, proba, self.classes, score=s, decide=decide)
+        return df, proba, s, decide
 
 
 def _probability_of_one(model, features: str = "features") -> Scorer:
@@ -82,7 +80,7 @@ class Logistic(Model):
     def fit(self, train, ctx):
         def one(rows, c):
             est = LogisticRegression(regParam=1.0 / (self.C * c.n), elasticNetParam=0.0,
-                                     standardization=False, maxIter=self.max_iter,
+                                     standardization=False, maxIter=self.max_iter, tol=1e-4,
                                      weightCol=WEIGHT)
             return _probability_of_one(est.fit(rows))
         return FittedScores(each_class(weighted(train, ctx, self.balanced), ctx, one),
@@ -102,21 +100,27 @@ class Ridge(Model):
         return FittedScores(each_class(weighted(train, ctx), ctx, one), ctx.classes, False)
 
 
-def _svc(reg: float, max_iter: int) -> LinearSVC:
-    return LinearSVC(regParam=reg, maxIter=max_iter, standardization=False, weightCol=WEIGHT)
+def _svc(reg: float, max_iter: int, tol: float) -> LinearSVC:
+    return LinearSVC(regParam=reg, maxIter=max_iter, tol=tol, standardization=False,
+                     weightCol=WEIGHT)
 
 
 class HingeLinear(Model):
-    """Linear classifier under hinge loss, by regularisation ``alpha`` or by ``C``."""
+    """Linear classifier under hinge loss, by regularisation ``alpha`` or by ``C``.
+
+    An iteration is a pass over all rows, so ``max_iter`` is far below what a
+    row-by-row solver needs.
+    """
     mergeable = True
 
-    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 1000):
-        self.alpha, self.C, self.max_iter = alpha, C, max_iter
+    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 100,
+                 tol: float = 1e-4):
+        self.alpha, self.C, self.max_iter, self.tol = alpha, C, max_iter, tol
 
     def fit(self, train, ctx):
         def one(rows, c):
             reg = self.alpha if self.alpha is not None else 1.0 / (self.C * c.n)
-            return _margin(_svc(reg, self.max_iter).fit(rows))
+            return _margin(_svc(reg, self.max_iter, self.tol).fit(rows))
         return FittedScores(each_class(weighted(train, ctx), ctx, one), ctx.classes, False)
 
 
@@ -128,12 +132,12 @@ class SupportVector(Model):
     """
 
     def __init__(self, kernel: str = "linear", C: float = 1.0, balanced: bool = False,
-                 n_components: int = 256, max_iter: int = 200, input: str = "bow",
-                 calibration_folds: int = 5):
+                 n_components: int = 256, max_iter: int = 20, tol: float = 1e-3,
+                 input: str = "bow", calibration_folds: int = 5):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel: {kernel}")
         self.kernel, self.C, self.balanced, self.input = kernel, C, balanced, input
-        self.n_components, self.max_iter = n_components, max_iter
+        self.n_components, self.max_iter, self.tol = n_components, max_iter, tol
         self.calibration_folds = calibration_folds
 
     def fit(self, train, ctx):
@@ -146,7 +150,7 @@ class SupportVector(Model):
         folded = stratified_folds(rows, "id", "label", self.calibration_folds, ctx.seed).persist()
 
         def one(df, c):
-            est = _svc(1.0 / (self.C * c.n), self.max_iter)
+            est = _svc(1.0 / (self.C * c.n), self.max_iter, self.tol)
 
             def held_out(f):
                 def run():
@@ -172,20 +176,23 @@ class SupportVector(Model):
             return score
 
         try:
-            scorers = each_class(folded, replace(ctx, parallelism=ctx.parallelism), one)
+            scorers = each_class(folded, ctx, one)
         finally:
             folded.unpersist()
-        if prepare is not None:
-            scorers = [lambda df, out, s=s: s(df, out) for s in scorers]
         return FittedKernel(FittedScores(scorers, ctx.classes, True), prepare)
 
 
 class FittedKernel(Fitted):
     def __init__(self, inner: Fitted, prepare):
-        self.inner, self.prepare = inner, prepare
+        self.inner, self.prepare, self.classes = inner, prepare, inner.classes
+
+    def columns(self, df):
+        return self.inner.columns(self.prepare(df) if self.prepare else df)
 
-    def predict(self, df, keep=()):
-        return self.inner.predict(self.prepare(df) if self.prepare else df, keep)
+    def with_probabilities(self, df, out):
+        rows, proba, _, _ = self.columns(df.withColumn("_plain", F.col("features")))
+        return rows.withColumn(out, proba).drop("features").withColumnRenamed(
+            "_plain", "features").select(*df.columns, out)
 
 
 def _scale_gamma(train: DataFrame, ctx: Context) -> float:
@@ -248,6 +255,5 @@ class FittedProbabilities(Fitted):
     def __init__(self, model, classes):
         self.model, self.classes = model, classes
 
-    def predict(self, df, keep=()):
-        return as_predictions(self.model.transform(df), keep, vector_to_array("probability"),
-                              self.classes)
+    def columns(self, df):
+        return self.model.transform(df), vector_to_array("probability"), None, None

@@ -181,6 +181,8 @@ class NearestNeighbours(Model):
 
 
 class FittedNeighbours(Fitted):
+    narrow = False
+
     def __init__(self, train, classes, k, metric):
         self.train, self.classes, self.k, self.metric = train, classes, k, metric
 

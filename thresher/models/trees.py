@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thresher.models.base import (Context, Fitted, Model, WEIGHT, as_predictions, in_parallel,
-                                  normalised, one_hot, softmax, weighted)
+                                  softmax, weighted)
 from thresher.models.linear import FittedProbabilities, FittedScores, _probability_of_one, each_class
 from thresher.session import cut_lineage
 
@@ -97,8 +97,8 @@ class AdaBoost(Model):
 
     def fit(self, train, ctx):
         rows = cut_lineage(weighted(indexed(train, ctx.classes), ctx)
-                           .select("label", "features", WEIGHT))
-        total = ctx.n
+                           .select("label", "features", WEIGHT)).persist()
+        total, old = ctx.n, rows
         members = []
         for i in range(self.rounds):
             tree = DecisionTreeClassifier(maxDepth=self.max_depth, weightCol=WEIGHT,
@@ -118,8 +118,10 @@ class AdaBoost(Model):
             grown = total * (1 - error) + total * error * math.exp(alpha)
             rows = scored.withColumn(WEIGHT, boosted * F.lit(ctx.n / grown)).drop("prediction")
             total = ctx.n
-            if (i + 1) % self.cut_every == 0:
-                rows = cut_lineage(rows)
+            rows = (cut_lineage(rows) if (i + 1) % self.cut_every == 0 else rows).persist()
+            rows.count()
+            old.unpersist()
+            old = rows
         if not members:
             raise ValueError("no tree is better than chance")
         return FittedAdaBoost(members, ctx.classes)
@@ -129,7 +131,7 @@ class FittedAdaBoost(Fitted):
     def __init__(self, members, classes):
         self.members, self.classes = members, classes
 
-    def predict(self, df, keep=()):
+    def columns(self, df):
         k = len(self.classes)
         total = sum(a for _, a in self.members)
         cols = [F.lit(0.0)] * k
@@ -140,8 +142,7 @@ class FittedAdaBoost(Fitted):
             cols = [c + F.when(F.col(name) == j, alpha).otherwise(0.0)
                     for j, c in enumerate(cols)]
         share = F.array(*[c / F.lit(total) for c in cols])
-        return as_predictions(df, keep, softmax(F.transform(share, lambda x: x / (k - 1))),
-                              self.classes)
+        return df, softmax(F.transform(share, lambda x: x / (k - 1))), None, None
 
 
 def poisson_weight(id_col: str, seed: int, rate: float) -> Column:
@@ -164,7 +165,7 @@ class Bagging(Model):
     def __init__(self, members: int = 50, rows: float = 0.8, columns: float = 0.8,
                  base: Model | None = None):
         self.members, self.rows, self.columns = members, rows, columns
-        # an unlimited tree in the reference; Spark ML trees stop at depth 30
+        # meant to be unlimited; Spark ML trees stop at depth 30
         self.base = base or Tree(max_depth=30)
 
     def fit(self, train, ctx):
@@ -197,28 +198,53 @@ def _refreshed(rows: DataFrame, ctx: Context, n_features: int) -> Context:
     return replace(ctx, n=sum(counts), class_counts=counts, n_features=n_features)
 
 
-def average_predictions(parts: Sequence[DataFrame], keep: Sequence[str],
-                        classes: Sequence[int]) -> DataFrame:
-    """Soft vote: mean probability per class over the members' predictions of each row."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return soft_vote(rows, ["id", *keep], classes)
-
-
-def soft_vote(preds: DataFrame, keys: Sequence[str], classes: Sequence[int]) -> DataFrame:
-    mean = preds.groupBy(*keys).agg(*[F.avg(F.col("proba")[i]).alias(f"_p{i}")
-                                      for i in range(len(classes))])
-    decide = F.array(*[F.round(F.col(f"_p{i}"), 9) for i in range(len(classes))])
-    return as_predictions(mean, [k for k in keys if k != "id"],
-                          F.array(*[F.col(f"_p{i}") for i in range(len(classes))]), classes,
+def soft_vote(preds: DataFrame, keys: Sequence[str], classes: Sequence[int],
+              weight: str | None = None) -> DataFrame:
+    """Mean probability per class over the members' predictions of each row."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    mean = preds.groupBy(*keys).agg(F.sum(w).alias("_w"), *[
+        F.sum(F.col("proba")[i] * w).alias(f"_p{i}") for i in range(len(classes))])
+    p = [F.col(f"_p{i}") / F.col("_w") for i in range(len(classes))]
+    decide = F.array(*[F.round(x, 9) for x in p])
+    return as_predictions(mean, [k for k in keys if k != "id"], F.array(*p), classes,
                           decide=decide)
 
 
 class FittedAverage(Fitted):
+    """Members as (prepare, fitted). Narrow members are averaged inside the row;
+    the others meet them in one aggregate per row id."""
+
     def __init__(self, members, classes):
         self.members, self.classes = members, classes
+        self.narrow = all(m.narrow for _, m in members)
+
+    def _inside(self, df: DataFrame, members, out: str) -> DataFrame:
+        kept = df.columns
+        total = None
+        for i, (prepare, m) in enumerate(members):
+            df = df.withColumn("_kept", F.col("features"))
+            df = m.with_probabilities(prepare(df), f"_member{i}").drop("features")
+            df = df.withColumnRenamed("_kept", "features")
+            p = F.col(f"_member{i}")
+            total = [p[j] if total is None else total[j] + p[j]
+                     for j in range(len(self.classes))]
+        mean = F.array(*[t / F.lit(float(len(members))) for t in total])
+        return df.withColumn(out, mean).select(*kept, out)
+
+    def columns(self, df):
+        rows = self._inside(df, self.members, "_mean")
+        return rows, F.col("_mean"), None, F.transform("_mean", lambda x: F.round(x, 9))
 
     def predict(self, df, keep=()):
-        return average_predictions([m.predict(prepare(df), keep) for prepare, m in self.members],
-                                   keep, self.classes)
+        if self.narrow:
+            return super().predict(df, keep)
+        inside = [(p, m) for p, m in self.members if m.narrow]
+        parts = [m.predict(p(df), keep).select("id", *keep, "proba", F.lit(1.0).alias("_w"))
+                 for p, m in self.members if not m.narrow]
+        if inside:
+            parts.append(self._inside(df, inside, "proba").select(
+                "id", *keep, "proba", F.lit(float(len(inside))).alias("_w")))
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return soft_vote(rows, ["id", *keep], self.classes, "_w")

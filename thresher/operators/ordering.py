@@ -30,12 +30,13 @@ def shuffled_row_number(df: DataFrame, keys: Sequence[str], id_col: str, seed: i
     sizes = d.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")
                                .rowsBetween(Window.unboundedPreceding, -1)))
-    starts = sizes.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_bucket"])],
+                          F.coalesce(before, F.lit(0)).alias("_start"))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, "_bucket"])]
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_digest", id_col)
-    on = [d[k].eqNullSafe(starts[k]) for k in keys] + [d["_bucket"] == starts["_bucket"]]
-    joined = d.join(starts, _all(on), "inner").select(*[d[c] for c in d.columns], "_start")
-    return (joined.withColumn(out, (F.col("_start") + F.row_number().over(inside)).cast("long"))
-            .drop("_digest", "_bucket", "_start"))
+    position = (F.col("_start") + F.row_number().over(inside)).cast("long")
+    return (d.join(starts, on).withColumn(out, position)
+            .drop("_digest", "_bucket", "_start", *[f"_k{i}" for i in range(len(on))]))
 
 
 def running_sums(counts: DataFrame, keys: Sequence[str], order: str,
@@ -94,10 +95,3 @@ def exact_quantiles(values: DataFrame, keys: Sequence[str], value: str,
     return per_group.select(*keys, *[
         (F.col(f"_{q}_lo") + (F.col(f"_{q}_hi") - F.col(f"_{q}_lo")) * F.col(f"_{q}_part"))
         .alias(q) for q in probabilities])
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out

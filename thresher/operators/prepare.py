@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from thresher.functions.columns import FLOATING, is_numeric
+from thresher.functions.columns import FLOATING
 from thresher.operators.ordering import exact_quantiles, shuffled_row_number
 
 
@@ -213,12 +213,11 @@ def train_test_split(df: DataFrame, id_col: str, label: str | None = None,
                      test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: the first round(n * test_size) rows per class are 'test'."""
     keyed = df.withColumn("_class", F.col(label) if label else F.lit(0))
-    sizes = keyed.groupBy("_class").agg(
+    sizes = keyed.groupBy(F.col("_class").alias("_of")).agg(
         F.round(F.count("*") * F.lit(float(test_size))).cast("long").alias("_n_test"))
     numbered = shuffled_row_number(keyed, ["_class"], id_col, seed, "_row")
-    on = numbered["_class"].eqNullSafe(sizes["_class"])
-    return numbered.join(sizes, on).select(
-        *[numbered[c] for c in df.columns],
+    return numbered.join(sizes, F.col("_class").eqNullSafe(F.col("_of"))).select(
+        *df.columns,
         F.when(F.col("_row") <= F.col("_n_test"), "test").otherwise("train").alias("split"))
 
 

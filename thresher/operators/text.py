@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from thresher.functions.columns import leading_parts, passes_unchanged, terms
+from thresher.functions.columns import leading_parts, passes_unchanged, terms, topic_count
 
 # Words per sentence and per paragraph.
 SENTENCE_WORDS = 5
@@ -98,3 +98,24 @@ def clean_text(text: str | Column, lowercase: bool = True, remove_punctuation: b
 
 def with_terms(df: DataFrame, text: str = "text", out: str = "terms") -> DataFrame:
     return df.withColumn(out, terms(text))
+
+
+def extraction_aliases(texts: DataFrame, sizes=None, baseline: bool = True,
+                       text: str = "text") -> list[tuple[str, str, int, str]]:
+    """(level, size, size_ord, source cell) with equal extractions under one source.
+
+    With at most m topics per text, every extraction of m or more words is the
+    full text. Texts with irregular spacing are re-joined by sentence and
+    paragraph cuts, so those alias only if all texts are regular.
+    """
+    facts = texts.agg(
+        F.max(topic_count(text)).alias("m"),
+        F.max(F.coalesce(F.col(text) != F.trim(F.regexp_replace(text, r"\s+", " ")),
+                         F.lit(False)).cast("int")).alias("irregular")).first()
+    longest, irregular = facts["m"] or 0, bool(facts["irregular"])
+    out = []
+    for level, size, i in grid_cells(sizes, baseline):
+        whole = size == BASELINE or (level == "paragraph" and size == "0") or (
+            words_needed(level, int(size)) >= longest and (level == "word" or not irregular))
+        out.append((level, size, i, "full" if whole else f"{level}:{size}"))
+    return out
