@@ -18,13 +18,14 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def table_characteristics(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Characteristics of a wide numeric table; sparsity is the share of zero cells."""
+def table_characteristics(df: DataFrame, features: Sequence[str], label: str,
+                          keys: Sequence[str] = ()) -> DataFrame:
+    """Characteristics of wide numeric tables; sparsity is the share of zero cells."""
     zeros = F.lit(0)
     for f in features:
         zeros = zeros + (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) == 0).cast("int")
-    per_class = df.groupBy(label).agg(F.count("*").alias("n"), F.sum(zeros).alias("z"))
-    return per_class.agg(
+    per_class = df.groupBy(*keys, label).agg(F.count("*").alias("n"), F.sum(zeros).alias("z"))
+    return per_class.groupBy(*keys).agg(
         F.sum("n").alias("n_samples"), F.lit(len(features)).alias("n_features"),
         (F.sum("z").cast("double") / (F.sum("n") * len(features))).alias("sparsity"),
         (F.min("n").cast("double") / F.max("n")).alias("class_balance"))

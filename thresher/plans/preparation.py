@@ -11,6 +11,7 @@ from thresher.operators.ranking import compare_models
 from thresher.operators.rules import rule_table
 from thresher.plans.common import (FEATURES_SQL, LINE_RULES, SCORES_SQL, SUMMARY_SQL, query,
                                    scores, summary, table, users)
+from thresher.session import cut_lineage
 from thresher.sources import tables as io
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -56,7 +57,7 @@ def _(spark, sf):
 @query("S6_results_sink")
 def _(spark, sf):
     out = None
-    s = summary(spark, sf)
+    s = cut_lineage(summary(spark, sf))
     for fmt in io.FORMATS:
         path = io.scratch_path(spark, "results")
         io.export(s, path, fmt)
@@ -85,7 +86,7 @@ def _(spark, sf):
 @query("S9_export_tables")
 def _(spark, sf):
     path = io.scratch_path(spark, "tables")
-    names = io.export_tables(scores(spark, sf).persist(), path, "parquet")
+    names = io.export_tables(scores(spark, sf), path, "parquet")
     out = None
     for n in names:
         rows = spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("rows")).withColumn(
@@ -111,7 +112,7 @@ UNION ALL SELECT 'extraction_best', level || '.extraction_size', size FROM per_l
 UNION ALL SELECT 'extraction_best', level || '.score', printf('%.6f', score) FROM per_level""")
 def _(spark, sf):
     from thresher.operators.ranking import flatten_summary
-    return flatten_summary(scores(spark, sf))
+    return flatten_summary(cut_lineage(scores(spark, sf)))
 
 
 @query("S11_rules_round_trip", """WITH r(ord, name, "column", op, threshold) AS (VALUES
@@ -364,12 +365,12 @@ def _(spark, sf):
 @query("F19_compare_models", "WITH " + SUMMARY_SQL + """ SELECT model, metric, round(mean, 6) AS mean
   FROM summary WHERE model IN ('LogisticRegression', 'BERT-LR') AND contains(metric, 'auc')""")
 def _(spark, sf):
-    s = compare_models(summary(spark, sf), ["LogisticRegression", "BERT-LR", "Nobody"], ["auc"])
+    s = compare_models(cut_lineage(summary(spark, sf)), ["LogisticRegression", "BERT-LR", "Nobody"], ["auc"])
     return s.select("model", "metric", F.round("mean", 6).alias("mean"))
 
 
 @query("F19_filter_without_hit", "WITH " + SUMMARY_SQL + """ SELECT model, metric, round(mean, 6) AS mean
   FROM summary WHERE contains(metric, 'acc') OR contains(metric, 'f1')""")
 def _(spark, sf):
-    s = compare_models(summary(spark, sf), ["Nobody"], ["acc", "f1"])
+    s = compare_models(cut_lineage(summary(spark, sf)), ["Nobody"], ["acc", "f1"])
     return s.select("model", "metric", F.round("mean", 6).alias("mean"))

@@ -12,7 +12,7 @@ from thresher.operators.prepare import preprocess
 from thresher.operators.ranking import (benchmark_report, best_per_category, best_per_model,
                                         flatten_summary)
 from thresher.operators.rules import RULE_SCHEMA
-from thresher.session import ensure_checkpoint_dir
+from thresher.session import cut_lineage, ensure_checkpoint_dir
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -84,6 +84,7 @@ SCORES_SCHEMA = ("model string, model_ord int, size string, size_ord int, score
 
 def save_results(scores: DataFrame, path: str, mode: str = "error") -> None:
     """Scores by level, the flattened summary and the text report under one folder."""
+    scores = cut_lineage(scores)        # one row per cell, read a dozen times below
     export(scores, f"{path}/scores", "csv", mode, ["level"])
     export(flatten_summary(scores), f"{path}/benchmark_summary", "csv", mode)
     lines = benchmark_report(scores).orderBy("line_no").select("line")
@@ -99,6 +100,7 @@ def load_results(spark: SparkSession, path: str) -> DataFrame:
 
 def export_tables(scores: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> list[str]:
     """One folder per table: scores of each level, performance, best models, summary."""
+    scores = cut_lineage(scores)
     tables = {"level_scores": scores, "performance_summary": best_per_model(scores),
               "best_models": best_per_category(scores),
               "benchmark_summary": flatten_summary(scores)}
