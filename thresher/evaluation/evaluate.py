@@ -17,6 +17,7 @@ from thresher.operators.ranking import (best_overall, best_per_category,
                                         improvements, model_category)
 from thresher.operators.text import extraction_aliases, extraction_grid, grid_cells
 from thresher.operators.vectors import BagOfWords
+from thresher.session import cut_lineage
 
 KEYS = ("model", "level", "size")
 PREDICTION_COLUMNS = ("id", "fold", "model", "label", "pred", "proba", "score")
@@ -99,7 +100,9 @@ def evaluate_models(data: DataFrame, models: dict[str, Model], k: int = 5, seed:
     parts, errors = [], []
     for name, m in models.items():
         try:
-            p = cross_validated_predictions(data, {name: m}, k, seed, **options)
+            # predictions are scored once; every metric reads the stored table
+            p = cut_lineage(cross_validated_predictions(data, {name: m}, k, seed, **options)
+                            .drop("proba"))
             parts.append(fold_metrics(p, ["model"]))
         except Exception as e:          # recorded per model, see above
             if len(models) == 1:

@@ -9,10 +9,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.models.base import Context, Fitted, Model, describe, in_parallel
-from thresher.models.bayes import NaiveBayes
+from thresher.models.bayes import NaiveBayes, cross_validated_bayes
 from thresher.models.linear import Logistic, SupportVector
 from thresher.models.trees import Bagging, FittedAverage, Forest
 from thresher.operators.folds import stratified_folds
+from thresher.session import cut_lineage
 
 
 class Voting(Model):
@@ -63,20 +64,22 @@ class Stacking(Model):
                 facts = replace(describe(part, ctx.n_features, ctx.seed), parallelism=1)
                 return model.fit(part, facts).predict(folded.where(F.col("fold") == f), ["label"])
             return run
-        jobs = [held_out(m, f) for m in self.members.values() for f in range(self.folds)]
-        done = in_parallel(jobs, ctx.parallelism)
-        parts = []
-        for i in range(len(names)):
-            rows = done[i * self.folds]
+        bayes = {n: m for n, m in self.members.items() if isinstance(m, NaiveBayes)}
+        others = {n: m for n, m in self.members.items() if n not in bayes}
+        done = in_parallel([held_out(m, f) for m in others.values() for f in range(self.folds)],
+                           ctx.parallelism)
+        parts = {n: cross_validated_bayes(folded, m.kind, m.alpha, self.folds,
+                                          max_features=m.max_features, classes=ctx.classes)
+                 for n, m in bayes.items()}         # all folds in one plan
+        for i, n in enumerate(others):
+            parts[n] = done[i * self.folds]
             for p in done[i * self.folds + 1:(i + 1) * self.folds]:
-                rows = rows.unionByName(p)
-            parts.append(rows)
-        meta_train = meta_features(parts, names, ["label"], ctx.k).persist()
+                parts[n] = parts[n].unionByName(p)
+        meta_train = cut_lineage(meta_features([parts[n] for n in names], names, ["label"], ctx.k))
         width = len(names) * (1 if ctx.k == 2 else ctx.k)
         meta = self.meta.fit(meta_train, replace(ctx, n_features=width))
         members = in_parallel([lambda m=m: m.fit(train, inner) for m in self.members.values()],
                               ctx.parallelism)
-        meta_train.unpersist()
         folded.unpersist()
         return FittedStacking(names, members, meta, ctx.k)
 

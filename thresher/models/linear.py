@@ -132,7 +132,7 @@ class SupportVector(Model):
     """
 
     def __init__(self, kernel: str = "linear", C: float = 1.0, balanced: bool = False,
-                 n_components: int = 256, max_iter: int = 20, tol: float = 1e-3,
+                 n_components: int = 256, max_iter: int = 10, tol: float = 1e-3,
                  input: str = "bow", calibration_folds: int = 5):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel: {kernel}")

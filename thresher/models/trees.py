@@ -106,6 +106,9 @@ class AdaBoost(Model):
             scored = tree.transform(rows).drop("rawPrediction", "probability")
             wrong = F.col("prediction") != F.col("label")
             error = scored.agg(F.sum(F.when(wrong, F.col(WEIGHT)).otherwise(0.0))).first()[0] / total
+            if old is not rows:     # this round's rows are stored by now
+                old.unpersist()
+                old = rows
             if error >= 1 - 1.0 / ctx.k:
                 break
             if error <= 0:
@@ -119,9 +122,6 @@ class AdaBoost(Model):
             rows = scored.withColumn(WEIGHT, boosted * F.lit(ctx.n / grown)).drop("prediction")
             total = ctx.n
             rows = (cut_lineage(rows) if (i + 1) % self.cut_every == 0 else rows).persist()
-            rows.count()
-            old.unpersist()
-            old = rows
         if not members:
             raise ValueError("no tree is better than chance")
         return FittedAdaBoost(members, ctx.classes)

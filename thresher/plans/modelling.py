@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.evaluation import evaluate as E
 from thresher.functions.columns import TERM
 from thresher.models import registry
-from thresher.models.base import Model, describe
+from thresher.models.base import Model, class_list, describe
 from thresher.models.bayes import cross_validated_bayes
-from thresher.models.embedding import (FunctionEncoder, MultilevelClassifier, WordVectorEncoder,
-                                       embed)
+from thresher.models.embedding import (FunctionEncoder, MultilevelClassifier,
+                                       WordVectorEncoder)
 from thresher.models.ensemble import build_ensemble, meta_features
 from thresher.models.neighbours import nearest, vote
 from thresher.models.trees import soft_vote
@@ -20,6 +19,7 @@ from thresher.operators.metrics import ranking_metrics
 from thresher.operators.prepare import train_test_split
 from thresher.operators.vectors import (BagOfWords, fuse_levels, pool, vocabulary,
                                         vocabulary_pairs)
+from thresher.session import cut_lineage
 from thresher.plans.common import (labelled_documents, labelled_users, query, table, user_topics)
 
 DOCS_SQL = f"""d AS (SELECT doc_id AS id, quality AS label, text FROM documents JOIN labels USING (doc_id)),
@@ -168,45 +168,40 @@ base AS (SELECT dc.k, dc.c, {prior} + (SELECT sum(off) FROM w WHERE w.k = dc.k A
 s AS (SELECT tok.id, w.c, sum(w) AS s FROM tok JOIN w ON tok.fold = w.k AND tok.term = w.term GROUP BY tok.id, w.c),
 jll AS (SELECT f.id, f.fold, f.label, base.c, round(coalesce(s.s, 0) + b, 6) AS j
   FROM f JOIN base ON base.k = f.fold LEFT JOIN s ON s.id = f.id AND s.c = base.c),
-pred AS (SELECT id, fold, label, CAST(arg_max(c, j ORDER BY c) AS INT) AS p0,
-  max(j) FILTER (c = 0) AS j0, max(j) FILTER (c = 1) AS j1 FROM jll GROUP BY id, fold, label)"""
+pred AS (SELECT id, fold, label, max(j) FILTER (c = 0) AS j0, max(j) FILTER (c = 1) AS j1 FROM jll GROUP BY id, fold, label)"""
 
 
 BAYES_OUT = """ SELECT id, fold, label, CAST(CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS INT) AS pred,
   round(1 / (1 + exp(j0 - j1)), 4) AS score FROM pred"""
 
 
-def _clean_bayes_sql(kind: str, alpha: float) -> str:
-    return bayes_sql(kind, alpha).replace("CAST(arg_max(c, j ORDER BY c) AS INT) AS p0,\n  ", "\n  ")
-
-
 def _bayes(spark, sf, kind, alpha):
     folded = stratified_folds(labelled_documents(spark, sf), "id", "label")
     p = cross_validated_bayes(folded, kind, alpha)
     return p.select("id", "fold", "label", "pred", F.round("score", 4).alias("score"))
 
 
-@query("M7_multinomial", _clean_bayes_sql("multinomial", 1.0) + BAYES_OUT)
+@query("M7_multinomial", bayes_sql("multinomial", 1.0) + BAYES_OUT)
 def _(spark, sf):
     return _bayes(spark, sf, "multinomial", 1.0)
 
 
-@query("M7_multinomial_half", _clean_bayes_sql("multinomial", 0.5) + BAYES_OUT)
+@query("M7_multinomial_half", bayes_sql("multinomial", 0.5) + BAYES_OUT)
 def _(spark, sf):
     return _bayes(spark, sf, "multinomial", 0.5)
 
 
-@query("M7_multinomial_tenth", _clean_bayes_sql("multinomial", 0.1) + BAYES_OUT)
+@query("M7_multinomial_tenth", bayes_sql("multinomial", 0.1) + BAYES_OUT)
 def _(spark, sf):
     return _bayes(spark, sf, "multinomial", 0.1)
 
 
-@query("M7_bernoulli", _clean_bayes_sql("bernoulli", 1.0) + BAYES_OUT)
+@query("M7_bernoulli", bayes_sql("bernoulli", 1.0) + BAYES_OUT)
 def _(spark, sf):
     return _bayes(spark, sf, "bernoulli", 1.0)
 
 
-@query("M7_complement", _clean_bayes_sql("complement", 1.0) + BAYES_OUT)
+@query("M7_complement", bayes_sql("complement", 1.0) + BAYES_OUT)
 def _(spark, sf):
     return _bayes(spark, sf, "complement", 1.0)
 
@@ -231,17 +226,11 @@ def folded_vectors(spark, sf) -> DataFrame:
 
 def _neighbours(spark, sf, k, metric):
     rows = folded_vectors(spark, sf).persist()
-    classes = tuple(range(10)) if False else _classes(rows)
     near = nearest(rows, rows, k, metric, by_fold=True)
-    return rows.select("id", "fold", "label").join(vote(near, classes), "id").select(
+    return rows.select("id", "fold", "label").join(vote(near, class_list(rows)), "id").select(
         "id", "fold", "label", "pred")
 
 
-def _classes(rows):
-    from thresher.models.base import class_list
-    return class_list(rows)
-
-
 PREDICTED = """ SELECT id, fold, label, CAST(c AS INT) AS pred FROM votes
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, c) = 1"""
 
@@ -275,7 +264,7 @@ def _(spark, sf):
 # ---- voting and stacking on predictions tables ----
 
 @query("M19_soft_vote", "WITH " + ",\n".join(
-    f"{k} AS ({_clean_bayes_sql(k, 1.0)} SELECT id, fold, label, 1 / (1 + exp(j0 - j1)) AS p FROM pred)"
+    f"{k} AS ({bayes_sql(k, 1.0)} SELECT id, fold, label, 1 / (1 + exp(j0 - j1)) AS p FROM pred)"
     for k in ("multinomial", "bernoulli", "complement")) + """
 SELECT id, fold, label, CAST(CASE WHEN round(avg(p), 9) > round(1 - avg(p), 9) THEN 1 ELSE 0 END AS INT) AS pred, round(avg(p), 4) AS score
   FROM (SELECT * FROM multinomial UNION ALL SELECT * FROM bernoulli UNION ALL SELECT * FROM complement) GROUP BY id, fold, label""")
@@ -289,7 +278,7 @@ def _(spark, sf):
 
 
 @query("J5_meta_features", "WITH " + ",\n".join(
-    f"{k} AS ({_clean_bayes_sql(k, 1.0)} SELECT id, label, 1 / (1 + exp(j0 - j1)) AS p FROM pred)"
+    f"{k} AS ({bayes_sql(k, 1.0)} SELECT id, label, 1 / (1 + exp(j0 - j1)) AS p FROM pred)"
     for k in ("multinomial", "bernoulli")) + """
 SELECT id, m.label, round(m.p, 4) AS multinomial, round(b.p, 4) AS bernoulli FROM multinomial m JOIN bernoulli b USING (id)""")
 def _(spark, sf):
@@ -400,7 +389,7 @@ def _(spark, sf):
                             few_models()["DecisionTreeClassifier"])
 
 
-@query("V1_bayes_metrics", _clean_bayes_sql("multinomial", 1.0) + """, o AS (SELECT fold, label,
+@query("V1_bayes_metrics", bayes_sql("multinomial", 1.0) + """, o AS (SELECT fold, label,
   CAST(CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS INT) AS p, round(1 / (1 + exp(j0 - j1)), 9) AS s FROM pred),
 r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY s) + (count(*) OVER (PARTITION BY fold, s) - 1) / 2.0::DOUBLE AS k FROM o)
 SELECT fold, round(avg(CASE WHEN p = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy,
@@ -408,7 +397,7 @@ SELECT fold, round(avg(CASE WHEN p = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
   / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS roc_auc FROM r GROUP BY fold""")
 def _(spark, sf):
     folded = stratified_folds(labelled_documents(spark, sf), "id", "label").persist()
-    p = cross_validated_bayes(folded).withColumn("score", F.round("score", 9))
+    p = cut_lineage(cross_validated_bayes(folded).withColumn("score", F.round("score", 9)))
     acc = p.groupBy("fold").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6)
                                 .alias("accuracy"))
     auc = ranking_metrics(p, ["fold"]).select("fold", F.round("roc_auc", 6).alias("roc_auc"))
@@ -431,7 +420,7 @@ def _grid_bayes_sql() -> str:
 x AS ({parts}), tok AS (SELECT id, label, fold, level, size, {TERMS_SQL} FROM x),
 k5 AS (SELECT unnest(range(5)) AS k), cls AS (SELECT DISTINCT label AS c FROM f),
 tr AS (SELECT level, size, k, term, label AS c, count(*) AS n FROM tok JOIN k5 ON fold <> k GROUP BY ALL),
-vocab AS (SELECT level, size, k, term FROM tr GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY level, size, k ORDER BY sum(n) DESC, term) <= 5000),
+vocab AS (SELECT level, size, k, term FROM tr GROUP BY level, size, k, term QUALIFY row_number() OVER (PARTITION BY level, size, k ORDER BY sum(n) DESC, term) <= 5000),
 dc AS (SELECT k, label AS c, count(*)::DOUBLE AS d, sum(count(*)) OVER (PARTITION BY k)::DOUBLE AS dd FROM f JOIN k5 ON fold <> k GROUP BY k, label),
 g AS (SELECT v.*, cls.c, coalesce(tr.n, 0)::DOUBLE AS n FROM vocab v CROSS JOIN cls LEFT JOIN tr
   ON tr.level = v.level AND tr.size = v.size AND tr.k = v.k AND tr.term = v.term AND tr.c = cls.c),
@@ -469,8 +458,7 @@ def _(spark, sf):
 @query("V8_binary_classification")
 def _(spark, sf):
     from thresher.evaluation.lifecycle import classify
-    from thresher.plans.common import USER_RULES, users
-    from thresher.operators.rules import count_label
+    from thresher.plans.common import USER_RULES
     data = user_topics(spark, sf).drop("text").withColumn("target", (F.col("v_std") > 45).cast("double"))
     return classify(data, USER_RULES, few_models(), "user_id", label="target")["best_overall"]
 
