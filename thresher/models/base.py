@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_CLASSES = 1000
 WEIGHT = "weight"
@@ -57,8 +57,9 @@ def in_parallel(tasks: Sequence[Callable[[], object]], parallelism: int = 4) ->
     """Runs independent fits from a few driver threads; the work itself is Spark jobs."""
     if len(tasks) == 1 or parallelism <= 1:
         return [t() for t in tasks]
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(min(parallelism, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
 def argmax_class(scores: Column, classes: Sequence[int]) -> Column:

@@ -164,6 +164,7 @@ class MultilevelClassifier(Model):
         kept = grid.where(F.array_contains(wanted, F.concat_ws(":", "level", "size")))
         keyed = kept.withColumn("id", F.concat_ws("|", F.col("id").cast("string"), "level", "size"))
         features = right_sized(embed(keyed, self.encoder), ctx.n).persist()
+        features.count()
         width = self.encoder.size * 3
 
         def head(rows):

@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.models.base import (Context, Fitted, Model, WEIGHT, binary_context, in_parallel,
-                                  normalised, one_hot, argmax_class, weighted)
+                                  normalised, one_hot, argmax_class, right_sized, weighted)
 from thresher.operators.folds import stratified_folds
 
 # (train with 0/1 label and weight, context) -> (rows -> (rows with the new column, column))
@@ -132,7 +132,7 @@ class SupportVector(Model):
     """
 
     def __init__(self, kernel: str = "linear", C: float = 1.0, balanced: bool = False,
-                 n_components: int = 256, max_iter: int = 10, tol: float = 1e-3,
+                 n_components: int = 256, max_iter: int = 20, tol: float = 5e-3,
                  input: str = "bow", calibration_folds: int = 5):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel: {kernel}")
@@ -147,7 +147,9 @@ class SupportVector(Model):
                                        self.n_components, ctx.seed)
             train = prepare(train)
         rows = weighted(train, ctx, self.balanced)
-        folded = stratified_folds(rows, "id", "label", self.calibration_folds, ctx.seed).persist()
+        folded = right_sized(stratified_folds(rows, "id", "label", self.calibration_folds,
+                                              ctx.seed), ctx.n).persist()
+        folded.count()      # stored before several fits read it at once
 
         def one(df, c):
             est = _svc(1.0 / (self.C * c.n), self.max_iter, self.tol)
