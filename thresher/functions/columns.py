@@ -7,12 +7,9 @@ from pyspark.sql import Column, functions as F, types as T
 NORMAL = "normal"
 
 # The characters that separate tokens (every character for which
-# a Unicode-aware split on whitespace splits), as a regex class body and as text.
+# a Unicode-aware split on whitespace splits), as a regex class body.
 SPACE_CLASS = (r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
-SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
-               + "".join(chr(c) for c in range(0x2000, 0x200B))
-               + "\u2028\u2029\u202f\u205f\u3000")
 SPACES = f"[{SPACE_CLASS}]+"
 TOKEN = f"[^{SPACE_CLASS}]+"
 
@@ -42,14 +39,12 @@ def tokens(text: str | Column) -> Column:
 
 
 def leading_parts(text: str | Column, n: int) -> Column:
-    """The first ``n`` tokens, plus one element with the rest if there is one.
+    """The first ``n`` tokens, plus at least one element more if there are more tokens.
 
-    The split stops after ``n`` tokens, so a long text is not tokenised to its
-    end only to keep its first words.
+    The split stops there, so a long text is not tokenised to its end only to
+    keep its first words. Only space at either end gives an empty element.
     """
-    trimmed = F.btrim(col(text), F.lit(SPACE_CHARS))
-    return (F.when(trimmed == "", F.array().cast("array<string>"))
-            .otherwise(F.split(trimmed, SPACES, n + 1)))
+    return F.array_remove(F.split(col(text), SPACES, n + 2), "")
 
 
 def passes_unchanged(text: str | Column) -> Column:

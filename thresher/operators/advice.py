@@ -38,8 +38,8 @@ def text_characteristics(docs: DataFrame, text: str, label: str) -> DataFrame:
     base = rows.agg(F.sum("n").alias("n_samples"), F.sum("k").alias("_filled"),
                     (F.min("n").cast("double") / F.max("n")).alias("class_balance"))
     width = (docs.select(F.explode(distinct_terms(text)).alias("t")).distinct()
-             .agg(F.count("*").cast("int").alias("n_features")))
-    return base.join(F.broadcast(width)).select(            # one row each
+             .agg(F.count("*").cast("int").alias("n_features"))).scalar()
+    return base.withColumn("n_features", width).select(
         "n_samples", "n_features",
         (1 - F.col("_filled") / (F.col("n_samples") * F.col("n_features"))).alias("sparsity"),
         "class_balance")

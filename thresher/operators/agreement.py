@@ -18,9 +18,11 @@ def model_pairs(preds: DataFrame, id_col: str = "id", keys: Sequence[str] = ())
         "model", "pred", (F.col("pred") == F.col("label")).alias("ok")))).alias("_m"))
     # rows with the same votes are merged before pairs are formed
     merged = per_row.groupBy(*keys, "_m").agg(F.count("*").alias("_rows"))
-    left = merged.select(*keys, "_m", "_rows", F.posexplode("_m").alias("_i", "_a"))
-    pair = left.select(*keys, "_rows", "_a", F.explode(
-        F.slice("_m", F.col("_i") + 2, F.size("_m"))).alias("_b"))
+    # outer forms: no inferred test of the array below the merge
+    left = merged.select(*keys, "_m", "_rows", F.posexplode_outer("_m").alias("_i", "_a"))
+    pair = left.select(*keys, "_rows", "_a", F.explode_outer(
+        F.slice("_m", F.col("_i") + 2, F.size("_m"))).alias("_b")).where(
+        F.col("_b").isNotNull())
     n = lambda cond: F.sum(F.when(cond, F.col("_rows")).otherwise(0))
     a, b = F.col("_a.ok"), F.col("_b.ok")
     return pair.groupBy(*keys, F.col("_a.model").alias("model_a"),
@@ -69,5 +71,8 @@ def accuracy_spread(preds: DataFrame) -> DataFrame:
 def diversity(preds: DataFrame, id_col: str = "id") -> DataFrame:
     """All diversity measures in one row."""
     pairs = model_pairs(preds, id_col)
-    return (disagreement(pairs).join(F.broadcast(yule_q(pairs)))      # one row each
-            .join(F.broadcast(accuracy_spread(preds))))
+    spread = accuracy_spread(preds)
+    return disagreement(pairs).withColumns({
+        "average_q_statistic": yule_q(pairs).scalar(),
+        "models": spread.select("models").scalar(),
+        "accuracy_std": spread.select("accuracy_std").scalar()})

@@ -7,7 +7,9 @@ order rows only inside a bucket; results are the same as with one big window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import operator
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -40,25 +42,38 @@ def shuffled_row_number(df: DataFrame, keys: Sequence[str], id_col: str, seed: i
 
 
 def running_sums(counts: DataFrame, keys: Sequence[str], order: str,
-                 sums: Sequence[str], splitters: int = 64) -> DataFrame:
+                 sums: Sequence[str], splitters: int = 64,
+                 keep: Callable[[], Column] | None = None) -> DataFrame:
     """Adds ``<c>_before`` (sum over smaller ``order`` values of the group) and
     ``<c>_total`` for every column in ``sums``.
 
     ``counts`` has one row per (keys, order) and no missing value in them.
     Bucket borders are the values whose hash falls in a residue class chosen
     from the group's size: about ``splitters`` of them, spread like the data,
-    and the same on every recomputation.
+    and the same on every recomputation. ``keep`` may drop whole buckets before
+    rows are ordered, by ``_o_<c>`` (sum before the bucket), ``_s_<c>`` (sum of
+    the bucket) and ``<c>_total``.
     """
+    if splitters & (splitters - 1):
+        raise ValueError("splitters must be a power of two")
     keys = list(keys)
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("_n"))
     step = F.ceil(F.col("_n") / F.lit(float(splitters)))
     cuts = (counts.select(*keys, order).join(sizes, keys)
             .where(F.pmod(F.xxhash64(order), step) == 0)
             .groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("_cuts")))
-    bucketed = (counts.join(cuts, keys, "left")
-                .withColumn("_bucket", F.coalesce(
-                    F.size(F.filter("_cuts", lambda b: b < F.col(order))), F.lit(0)))
-                .drop("_cuts"))
+    # as many borders for every group, then a binary search in generated code
+    at = F.transform(F.sequence(F.lit(1), F.lit(splitters - 1)),
+                     lambda i: F.floor(i * F.size("_cuts") / F.lit(float(splitters))).cast("int"))
+    cuts = cuts.select(*keys, F.transform(at, lambda i: F.get("_cuts", i)).alias("_cuts"))
+    bucketed = counts.join(cuts, keys, "left").withColumn("_bucket", F.lit(0))
+    step = splitters // 2
+    while step:
+        higher = F.get("_cuts", F.col("_bucket") + (step - 1)) < F.col(order)
+        bucketed = bucketed.withColumn(
+            "_bucket", F.col("_bucket") + F.when(higher, step).otherwise(0))
+        step //= 2
+    bucketed = bucketed.drop("_cuts")
     totals = bucketed.groupBy(*keys, "_bucket").agg(
         *[F.sum(c).alias(f"_s_{c}") for c in sums])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
@@ -67,7 +82,10 @@ def running_sums(counts: DataFrame, keys: Sequence[str], order: str,
     offsets = totals.select(
         *keys, "_bucket",
         *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *[f"_s_{c}" for c in sums],
         *[F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in sums])
+    if keep is not None:
+        offsets = offsets.where(keep())
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
     out = bucketed.join(offsets, [*keys, "_bucket"])
@@ -83,14 +101,23 @@ def exact_quantiles(values: DataFrame, keys: Sequence[str], value: str,
     """Exact, linearly interpolated quantiles: one row per group, one column per name."""
     counts = (values.where(F.col(value).isNotNull()).groupBy(*keys, value)
               .agg(F.count("*").alias("n")))
-    ranked = running_sums(counts, keys, value, ["n"])
+
+    def at(p: float) -> Column:
+        return (F.col("n_total") - 1) * F.lit(float(p))
+
+    def wanted() -> Column:
+        """The bucket holds a row that some quantile needs."""
+        tests = [(F.col("_o_n") <= index) & (index < F.col("_o_n") + F.col("_s_n"))
+                 for p in probabilities.values() for index in (F.floor(at(p)), F.ceil(at(p)))]
+        return functools.reduce(operator.or_, tests)
+
+    ranked = running_sums(counts, keys, value, ["n"], keep=wanted)
     aggs = []
     for name, p in probabilities.items():
-        at = (F.col("n_total") - 1) * F.lit(float(p))
-        for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+        for side, index in (("lo", F.floor(at(p))), ("hi", F.ceil(at(p)))):
             holds = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
             aggs.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{side}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"_{name}_part"))
+        aggs.append(F.max(at(p) - F.floor(at(p))).alias(f"_{name}_part"))
     per_group = ranked.groupBy(*keys).agg(*aggs)
     return per_group.select(*keys, *[
         (F.col(f"_{q}_lo") + (F.col(f"_{q}_hi") - F.col(f"_{q}_lo")) * F.col(f"_{q}_part"))

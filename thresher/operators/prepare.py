@@ -38,34 +38,30 @@ def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     types = {f.name: f.dataType for f in df.schema.fields}
     medians = [c for c in columns if isinstance(types[c], (T.LongType, T.DoubleType))]
     modes = [c for c in columns if c not in medians]
-    fills = None
+    fills: dict[str, Column] = {}
     if medians:
         long = df.select([F.col(c).cast("double").alias(c) for c in medians]).unpivot(
             [], medians, "column", "value")
         q = exact_quantiles(long, ["column"], "value", {"median": 0.5})
-        fills = q.groupBy().agg(*[
-            F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_fill_{i}")
-            for i, c in enumerate(medians)])
-    for i, c in enumerate(modes, start=len(medians)):
+        row = q.groupBy().agg(F.struct(*[
+            F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"m{i}")
+            for i, c in enumerate(medians)]).alias("row")).scalar()
+        fills.update({c: row.getField(f"m{i}") for i, c in enumerate(medians)})
+    for c in modes:
         counted = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        best = counted.agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(c).alias("v")))
-                           .getField("v").alias(f"_fill_{i}"))
-        fills = best if fills is None else fills.join(F.broadcast(best))
-    if fills is None:
-        return df
-    order = {c: i for i, c in enumerate(medians + modes)}
-    filled = df.join(F.broadcast(fills))        # exactly one row
+        fills[c] = counted.agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(c).alias("v")))
+                               .getField("v").alias("v")).scalar()
     out = []
     for c in df.columns:
-        if c not in order:
+        if c not in fills:
             out.append(F.col(c))
             continue
-        fill = F.col(f"_fill_{order[c]}")
+        fill = fills[c]
         if isinstance(types[c], T.StringType):
             fill = F.coalesce(fill, F.lit("unknown"))
         kept = F.col(c).cast("double") if c in medians else F.col(c)
         out.append(F.coalesce(kept, fill).alias(c))
-    return filled.select(out)
+    return df.select(out)
 
 
 def cast_label(df: DataFrame, label: str) -> DataFrame:

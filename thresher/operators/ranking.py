@@ -142,9 +142,8 @@ def compare_models(summary: DataFrame, models: Sequence[str] | None = None,
     """Keep the named models, and metrics whose name contains one of the words.
     A filter that would keep nothing is ignored."""
     def apply(df: DataFrame, cond: Column) -> DataFrame:
-        hit = df.agg(F.coalesce(F.max(cond.cast("int")), F.lit(0)).alias("_any"))
-        return (df.join(F.broadcast(hit))               # one row
-                .where((F.col("_any") == 0) | cond).drop("_any"))
+        hits = df.agg(F.coalesce(F.max(cond.cast("int")), F.lit(0)).alias("n")).scalar()
+        return df.where((hits == 0) | cond)
 
     out = summary
     if models:

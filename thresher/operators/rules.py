@@ -231,12 +231,12 @@ def topics_per_row(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def topic_totals(texts: DataFrame, text: str = "text") -> DataFrame:
+    unique = topic_frequencies(texts, text).agg(F.count("*").alias("n")).scalar()
     counts = texts.agg(
         F.count("*").alias("total_rows"),
         F.count_if(~F.col(text).eqNullSafe(NORMAL)).alias("rows_with_topics"),
         F.avg(topic_count(text).cast("double")).alias("average_topics"))
-    unique = topic_frequencies(texts, text).agg(F.count("*").alias("unique_topics"))
-    return counts.join(F.broadcast(unique))      # one row each
+    return counts.withColumn("unique_topics", unique)
 
 
 def topic_pairs(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -252,8 +252,10 @@ def topic_pairs(texts: DataFrame, text: str = "text") -> DataFrame:
     bag = toks.select("_rows", F.transform("_uniq", lambda t: F.struct(
         t.alias("t"), F.size(F.filter("_all", lambda x: x == t)).cast("long").alias("k")))
         .alias("_bag"))
-    left = bag.select("_rows", "_bag", F.posexplode("_bag").alias("_i", "_a"))
-    pair = left.select("_rows", "_a", F.explode(
+    # The outer forms keep the optimizer from testing the array on every input
+    # row: it would push "is not empty" below the merge of equal texts.
+    left = bag.select("_rows", "_bag", F.posexplode_outer("_bag").alias("_i", "_a"))
+    pair = left.select("_rows", "_a", F.explode_outer(
         F.slice("_bag", F.col("_i") + 1, F.size("_bag"))).alias("_b"))
     same = F.col("_a.t") == F.col("_b.t")
     times = F.when(same, F.expr("_a.k * (_a.k - 1) div 2")).otherwise(

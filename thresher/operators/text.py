@@ -41,7 +41,11 @@ def _cut(text: Column, parts: Column, level: str, size: int) -> Column:
 def extract(text: str | Column, level: str, size: int) -> Column:
     """The first ``size`` words, sentences (5 words) or paragraphs (10 words)."""
     text = F.col(text) if isinstance(text, str) else text
-    return _cut(text, leading_parts(text, words_needed(level, size)), level, size)
+    if level == "paragraph" and size == 0:
+        return text
+    # bound once by a one-element transform, as the cut reads the parts twice
+    parts = F.array(leading_parts(text, words_needed(level, size)))
+    return F.get(F.transform(parts, lambda p: _cut(text, p, level, size)), F.lit(0))
 
 
 def leading_words(text: str | Column, n: int) -> Column:

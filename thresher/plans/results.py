@@ -192,6 +192,16 @@ def _(spark, sf):
     return rounded(G.yule_q(G.model_pairs(predictions(spark, sf))), "average_q_statistic")
 
 
+@query("A17_diversity", "WITH " + PREDS_SQL + ", " + PAIR_SQL + """, a AS (SELECT model,
+  avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM preds GROUP BY model)
+SELECT round(avg(d), 6) AS average_disagreement, round(max(d), 6) AS max_disagreement, round(min(d), 6) AS min_disagreement,
+  round(coalesce(avg(q), 0), 6) AS average_q_statistic, (SELECT count(*) FROM a) AS models,
+  (SELECT round(stddev_pop(accuracy), 6) FROM a) AS accuracy_std FROM q""")
+def _(spark, sf):
+    return rounded(G.diversity(predictions(spark, sf)), "average_disagreement", "max_disagreement",
+                   "min_disagreement", "average_q_statistic", "accuracy_std")
+
+
 @query("A17_accuracies", "WITH " + PREDS_SQL + """ SELECT model, round(avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6)
   AS accuracy FROM preds GROUP BY model""")
 def _(spark, sf):
