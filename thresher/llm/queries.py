@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.llm.packing import pack_documents
+from thresher.llm.substrings import dedup_substrings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,3 +32,32 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id, i) AS n FROM windows)
+  WHERE n > 1),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range(20)) AS k)),
+kept AS (
+  SELECT doc_id, count(g.i) AS n_removed,
+         string_agg(CASE WHEN g.i IS NULL THEN w[i] END, ' ' ORDER BY i) AS kept
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) LEFT JOIN gone g USING (doc_id, i)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(OP2_SQL)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

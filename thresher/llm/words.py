@@ -7,6 +7,7 @@ A text arrives as UTF-8 bytes. ``bytes.split()`` cuts at the characters 0x20 and
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,37 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def split_words(texts: Iterable[bytes], cache: WordHashes
+                ) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text, the hashes of all words in a row, and where each text ends there."""
+    words = [text.split() for text in texts]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    total = int(ends[-1]) if len(ends) else 0
+    hashes = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.uint64, total)
+    return words, hashes, ends
+
+
+def starts_inside(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, position among all words) of every run of ``n`` words that stays in its text."""
+    begins = np.append(0, ends[:-1]) if len(ends) else ends
+    sizes = np.maximum(ends - begins - n + 1, 0)
+    text = np.repeat(np.arange(len(ends)), sizes)
+    first = np.cumsum(sizes) - sizes
+    return text, np.arange(sizes.sum()) - np.repeat(first - begins, sizes)
+
+
+def sliding_min(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least value of every run of ``n`` values, and the first place where it stands."""
+    at, length = np.arange(len(values)), 1
+    while length < n:
+        step = min(length, n - length)
+        left = values[:-step] <= values[step:]
+        at = np.where(left, at[:-step], at[step:])
+        values = np.where(left, values[:-step], values[step:])
+        length += step
+    return values, at
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))
