@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from thresher.llm.language import fit_language_model, held_out, predict_language
 from thresher.llm.packing import pack_documents
 from thresher.llm.substrings import dedup_substrings
 from thresher.llm.topk import top_k
+from thresher.llm.urls import judge_urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -84,3 +86,42 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <
 @query(OP9_SQL)
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+# Host, path and verdict of each rule.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+OP6_SQL = r"""
+WITH rules(rule_host, rule_path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+cut AS (
+  SELECT row_number() OVER () AS id, page_id,
+         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+urls AS (
+  SELECT id, page_id,
+         translate(regexp_extract(u, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT u.*, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY id ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) AS n
+  FROM urls u LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+
+@query(OP6_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = ", ".join(str(rule) for rule in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict)")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(~held_out("doc_id", 3, 1)).select("lang", "text"))
+    flags = docs.select("doc_id", "text")
+    return (predict_language(flags, model)
+            .select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score"))
