@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.llm.language import fit_language_model, held_out, predict_language
+from thresher.llm.neardup import near_duplicates
 from thresher.llm.packing import pack_documents
 from thresher.llm.substrings import dedup_substrings
 from thresher.llm.topk import top_k
@@ -125,3 +126,31 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = docs.select("doc_id", "text")
     return (predict_language(flags, model)
             .select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, peer) AS (
+  SELECT doc_id, doc_id FROM words UNION SELECT reach.doc_id, e.b FROM reach JOIN edges e ON e.a = reach.peer),
+least_id AS (SELECT doc_id, min(peer) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM words w JOIN least_id USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@query(OP4_SQL)
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold=80)
