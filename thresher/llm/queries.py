@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from thresher.llm.decontaminate import benchmark_overlaps
 from thresher.llm.language import fit_language_model, held_out, predict_language
 from thresher.llm.neardup import near_duplicates
 from thresher.llm.packing import pack_documents
@@ -154,3 +155,8 @@ FROM words w JOIN least_id USING (doc_id) LEFT JOIN sizes USING (doc_id)
 @query(OP4_SQL)
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold=80)
+
+
+@query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
