@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.llm.decontaminate import benchmark_overlaps
 from thresher.llm.language import fit_language_model, held_out, predict_language
+from thresher.llm.lines import dedup_lines
 from thresher.llm.neardup import near_duplicates
 from thresher.llm.packing import pack_documents
 from thresher.llm.substrings import dedup_substrings
@@ -160,3 +161,9 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
