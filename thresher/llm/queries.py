@@ -12,6 +12,7 @@ from thresher.llm.neardup import near_duplicates
 from thresher.llm.packing import pack_documents
 from thresher.llm.substrings import dedup_substrings
 from thresher.llm.topk import top_k
+from thresher.llm.toxicity import fit_toxicity, score_toxicity
 from thresher.llm.urls import judge_urls
 
 QUERIES: dict = {}
@@ -167,3 +168,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+TOXIC_AT = 0.7
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 3, 1)
+    model = fit_toxicity(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
+    scored = score_toxicity(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int"))
