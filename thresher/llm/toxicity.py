@@ -23,6 +23,7 @@ from thresher.llm.words import CACHED_WORDS, slices
 SAMPLE = 16_000             # labelled documents for the lexicons and the start of the label model
 FITTED = 16_000             # documents for the linear classifier
 TERMS = 1024
+MIN_RATIO = 19.5
 BEGINNING = 4               # characters of a word beginning
 WORD_LEXICONS, BEGINNING_LEXICONS = 5, 4
 PATTERNS = 4
@@ -115,9 +116,14 @@ def mine_lexicons(sample: DataFrame) -> Lexicons:
     p1 = (F.col("toxic") + 0.1) / (toxic + 0.2)
     p0 = (F.col("clean") + 0.1) / (clean + 0.2)
     odds = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
+    # likelihood ratio against equal shares in both classes; chance reaches MIN_RATIO in one of 10^5 terms
+    n = F.col("toxic") + F.col("clean")
+    both = lambda seen, of: F.when(F.col(seen) > 0, 2 * F.col(seen) * F.log(
+        F.col(seen) * (toxic + clean) / (n * of))).otherwise(0.0)
     best = (sample.mapInArrow(run, "term string, clean long, toxic long")
             .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .where("toxic >= 2").withColumn("odds", odds).where("odds > 2")
+            .withColumn("odds", odds)
+            .where((F.col("odds") > 2) & (both("toxic", toxic) + both("clean", clean) > MIN_RATIO))
             .withColumn("gain", F.col("toxic") * F.col("odds"))
             .orderBy(F.desc("gain"), "term").limit(TERMS)
             .select("term", "odds", F.pmod(F.xxhash64("term"), F.lit(1 << 30)).alias("h")).collect())
