@@ -10,6 +10,7 @@ from thresher.llm.language import fit_language_model, held_out, predict_language
 from thresher.llm.lines import dedup_lines
 from thresher.llm.neardup import near_duplicates
 from thresher.llm.packing import pack_documents
+from thresher.llm.quality import fit_quality, score_quality
 from thresher.llm.substrings import dedup_substrings
 from thresher.llm.topk import top_k
 from thresher.llm.toxicity import fit_toxicity, score_toxicity
@@ -180,3 +181,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
     scored = score_toxicity(docs.select("doc_id", out.alias("held_out"), "text"), model)
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int"))
+
+
+GOOD_AT = 0.3
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 5, 0)
+    model = fit_quality(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
+    scored = score_quality(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= GOOD_AT).cast("int"))
