@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.models.base import (DegenerateTraining, Model, WEIGHT, class_list, describe,
-                                  in_parallel, right_sized)
+                                  in_parallel, settled)
 from thresher.models.bayes import NaiveBayes, cross_validated_bayes
 from thresher.operators.folds import stratified_folds
 from thresher.operators.metrics import fold_metrics
@@ -33,7 +33,7 @@ def fit_model(model: Model, train: DataFrame, bag: BagOfWords | None, ctx):
     rows = merge_rows(train) if model.mergeable and model.input != "embedding" else train
     if model.input != "text":
         rows = bag.transform(rows)
-    rows = right_sized(rows, ctx.n).persist()
+    rows = settled(rows).persist()
     try:
         return model.fit(rows, ctx)
     finally:

@@ -115,14 +115,14 @@ class Fitted:
         return rows.withColumn(out, proba).select(*df.columns, out)
 
 
-# Rows per partition below which more partitions only cost start-up time.
-MIN_PARTITION_ROWS = 20_000
+def settled(train: DataFrame) -> DataFrame:
+    """The same rows in the same partitions and order, however they arrived.
 
-
-def right_sized(train: DataFrame, n: float) -> DataFrame:
-    """Fewer partitions for a small training set, as iterative fits scan it many times."""
-    wanted = max(1, -(-int(n) // MIN_PARTITION_ROWS))
-    return train.coalesce(wanted) if wanted < 64 else train
+    Spark ML draws its samples by partition and row. Dealt by a hash of the id and sorted,
+    they depend on the rows and the session's shuffle partitions only.
+    """
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return train.repartition(parts, "id").sortWithinPartitions("id")
 
 
 class Model:

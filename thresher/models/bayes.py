@@ -81,7 +81,7 @@ def log_scores(docs: DataFrame, weights: DataFrame, base: DataFrame, keys: Seque
                broadcast_rows: int | None) -> DataFrame:
     """(keys, carry, jll): joint log likelihoods, 6 places, for every document."""
     keys = list(keys)
-    if broadcast_rows is not None and broadcast_rows <= MAX_BROADCAST_ROWS:
+    if broadcast_rows is not None and broadcast_rows * n_classes <= 2 * MAX_BROADCAST_ROWS:
         weights = F.broadcast(weights)
     exploded = docs.select(*keys, *carry, F.explode_outer(distinct_terms(text)).alias("term"))
     summed = exploded.join(weights, [*keys, "term"], "left").groupBy(*keys, *carry).agg(

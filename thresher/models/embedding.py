@@ -5,58 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.functions.columns import as_text, terms
-from thresher.models.base import Fitted, Model, describe, in_parallel, right_sized
+from thresher.models.base import Fitted, Model, describe, in_parallel, settled
 from thresher.models.ensemble import Voting
 from thresher.models.linear import Logistic, SupportVector
 from thresher.models.trees import Forest
 from thresher.operators.folds import stratified_folds
 from thresher.operators.text import SEARCH_SIZES, extraction_aliases, extraction_grid
-from thresher.operators.vectors import MAX_FEATURES, pool, vocabulary
+from thresher.operators.vectors import pool
 
 MAX_LENGTH = 128
 PRIORITY = ("paragraph", "sentence", "word")
 
 
 class WordVectorEncoder:
-    """Token states from Spark ML Word2Vec vectors of the most frequent terms.
+    """Token states from hashed character n-grams: every term has a vector.
 
-    At most ``max_features`` vectors exist, so the table of vectors is broadcast.
-    Terms outside it have the zero vector and keep their position.
+    A term's vector is the mean of random directions drawn by hash for the term and for its
+    ``ngram``-character pieces, so related spellings are near each other. Nothing is fitted, so
+    nothing can pass from one fold or table to another.
     """
 
-    def __init__(self, size: int = 32, max_length: int = MAX_LENGTH,
-                 max_features: int = MAX_FEATURES, seed: int = 42):
-        self.size, self.max_length = size, max_length
-        self.max_features, self.seed = max_features, seed
-        self.vectors: DataFrame | None = None
+    def __init__(self, size: int = 32, max_length: int = MAX_LENGTH, ngram: int = 3, seed: int = 42):
+        self.size, self.max_length, self.ngram, self.seed = size, max_length, ngram, seed
 
     def fit(self, texts: DataFrame) -> "WordVectorEncoder":
-        src = texts.select("id", as_text("text").alias("text"))
-        known = F.broadcast(vocabulary(src, "text", self.max_features).select("term"))
-        words = (src.select("id", F.posexplode(terms("text")).alias("pos", "term"))
-                 .join(known, "term").groupBy("id")
-                 .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))),
-                                  lambda s: s["term"]).alias("words")))
-        model = Word2Vec(vectorSize=self.size, minCount=0, seed=self.seed, inputCol="words",
-                         outputCol="_v", maxIter=1).fit(words)
-        self.vectors = model.getVectors().persist()
         return self
 
+    def _vector(self, term):
+        marked = F.concat(F.lit("<"), term, F.lit(">"))
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - self.ngram + 1)),
+                             lambda i: F.substring(marked, i, F.lit(self.ngram)))
+        hashes = F.transform(F.concat(F.array(marked), pieces), lambda p: F.xxhash64(p, F.lit(self.seed)))
+        scale = float(2 ** 63) / 3 ** 0.5           # unit variance of each direction
+        value = lambda j: F.aggregate(
+            hashes, F.lit(0.0), lambda total, h: total + F.xxhash64(h, j) / F.lit(scale))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)),
+                           lambda j: (value(j) / F.size(hashes)).cast("float"))
+
     def states(self, texts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """(id, keep, pos, vec) for the first ``max_length`` terms of each text."""
-        from pyspark.ml.functions import vector_to_array
-        table = F.broadcast(self.vectors.select(
-            F.col("word").alias("term"), vector_to_array("vector", "float32").alias("_vec")))
-        zero = F.array_repeat(F.lit(0.0).cast("float"), self.size)
         first = F.slice(terms(as_text("text")), 1, self.max_length)
         return (texts.select("id", *keep, F.posexplode(first).alias("pos", "term"))
-                .join(table, "term", "left")
-                .select("id", *keep, "pos", F.coalesce("_vec", zero).alias("vec")))
+                .select("id", *keep, "pos", self._vector(F.col("term")).alias("vec")))
 
     @property
     def empty(self):
@@ -66,17 +60,18 @@ class WordVectorEncoder:
 class FunctionEncoder:
     """Token states from a user's batch function, for instance one that runs a
     language model: ``fn`` maps batches of (id, text) to batches of (id, pos, vec).
-    A failure in it fails the job."""
+    Ids keep the type they come with. A failure in it fails the job."""
 
-    def __init__(self, fn: Callable[[Iterator], Iterator], size: int, id_type: str = "long"):
-        self.fn, self.size, self.id_type = fn, size, id_type
+    def __init__(self, fn: Callable[[Iterator], Iterator], size: int):
+        self.fn, self.size = fn, size
 
     def fit(self, texts: DataFrame) -> "FunctionEncoder":
         return self
 
     def states(self, texts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         src = texts.select("id", as_text("text").alias("text"))
-        out = src.mapInPandas(self.fn, f"id {self.id_type}, pos int, vec array<float>")
+        id_type = src.schema["id"].dataType.simpleString()
+        out = src.mapInPandas(self.fn, f"id {id_type}, pos int, vec array<float>")
         return out.join(texts.select("id", *keep), "id") if keep else out
 
     @property
@@ -115,14 +110,12 @@ class EmbeddingClassifier(Model):
         self.encoder = encoder or WordVectorEncoder()
 
     def fit(self, train, ctx):
-        if getattr(self.encoder, "vectors", True) is None:
-            self.encoder.fit(train)
-        rows = right_sized(embed(train.drop("features"), self.encoder, self.strategy),
-                           ctx.n).persist()
-        width = self.encoder.size * (3 if self.strategy == "hybrid" else 1)
+        encoder = self.encoder.fit(train)       # a fitted one, held by the fitted model only
+        rows = settled(embed(train.drop("features"), encoder, self.strategy)).persist()
+        width = encoder.size * (3 if self.strategy == "hybrid" else 1)
         inner = self.head.fit(rows, replace(ctx, n_features=width))
         rows.unpersist()
-        return FittedEmbedding(inner, self.encoder, self.strategy)
+        return FittedEmbedding(inner, encoder, self.strategy)
 
 
 class FittedEmbedding(Fitted):
@@ -150,8 +143,7 @@ class MultilevelClassifier(Model):
         self.encoder = encoder or WordVectorEncoder()
 
     def fit(self, train, ctx):
-        if getattr(self.encoder, "vectors", True) is None:
-            self.encoder.fit(train)
+        encoder = self.encoder.fit(train)
         base = stratified_folds(train.select("id", "label", "text"), "id", "label",
                                 self.folds, ctx.seed)
         # equal extractions are embedded and scored once
@@ -163,9 +155,9 @@ class MultilevelClassifier(Model):
         grid = extraction_grid(base, sizes=self.sizes, baseline=False)
         kept = grid.where(F.array_contains(wanted, F.concat_ws(":", "level", "size")))
         keyed = kept.withColumn("id", F.concat_ws("|", F.col("id").cast("string"), "level", "size"))
-        features = right_sized(embed(keyed, self.encoder), ctx.n).persist()
+        features = settled(embed(keyed, encoder)).persist()
         features.count()
-        width = self.encoder.size * 3
+        width = encoder.size * 3
 
         def head(rows):
             facts = replace(describe(rows, width, ctx.seed), parallelism=1)
@@ -201,7 +193,7 @@ class MultilevelClassifier(Model):
         heads = dict(zip(best, in_parallel(
             [lambda lv=lv: head(cell(chosen[lv])) for lv in best], ctx.parallelism)))
         features.unpersist()
-        return FittedMultilevel(train.sparkSession, best, heads, level, self.encoder)
+        return FittedMultilevel(train.sparkSession, best, heads, level, encoder)
 
 
 class FittedMultilevel(Fitted):

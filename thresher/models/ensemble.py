@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from thresher.models.base import Context, Fitted, Model, describe, in_parallel, right_sized
+from thresher.models.base import Context, Fitted, Model, describe, in_parallel, settled
 from thresher.models.bayes import NaiveBayes, cross_validated_bayes
 from thresher.models.linear import Logistic, SupportVector
 from thresher.models.trees import Bagging, FittedAverage, Forest
@@ -55,8 +55,7 @@ class Stacking(Model):
 
     def fit(self, train: DataFrame, ctx: Context) -> "FittedStacking":
         names = list(self.members)
-        folded = right_sized(stratified_folds(train, "id", "label", self.folds, ctx.seed),
-                             ctx.n).persist()
+        folded = settled(stratified_folds(train, "id", "label", self.folds, ctx.seed)).persist()
         folded.count()      # stored before several fits read it at once
         inner = replace(ctx, parallelism=1)
 

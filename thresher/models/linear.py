@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.models.base import (Context, Fitted, Model, WEIGHT, binary_context, in_parallel,
-                                  normalised, one_hot, argmax_class, right_sized, weighted)
+                                  normalised, one_hot, argmax_class, settled, weighted)
 from thresher.operators.folds import stratified_folds
 
 # (train with 0/1 label and weight, context) -> (rows -> (rows with the new column, column))
@@ -94,7 +94,10 @@ class Ridge(Model):
     def fit(self, train, ctx):
         def one(rows, c):
             rows = rows.withColumn("_target", F.col("label") * 2 - 1)
-            model = LinearRegression(labelCol="_target", regParam=1.0 / c.n, elasticNetParam=0.0,
+            # Spark divides the penalty by the deviation of the target; here it must be 1
+            share = c.class_counts[1] / c.n
+            deviation = 2.0 * (share * (1.0 - share)) ** 0.5
+            model = LinearRegression(labelCol="_target", regParam=deviation / c.n, elasticNetParam=0.0,
                                      standardization=False, weightCol=WEIGHT).fit(rows)
             return lambda df, out: model.transform(df).withColumnRenamed("prediction", out)
         return FittedScores(each_class(weighted(train, ctx), ctx, one), ctx.classes, False)
@@ -106,15 +109,12 @@ def _svc(reg: float, max_iter: int, tol: float) -> LinearSVC:
 
 
 class HingeLinear(Model):
-    """Linear classifier under hinge loss, by regularisation ``alpha`` or by ``C``.
-
-    An iteration is a pass over all rows, so ``max_iter`` is far below what a
-    row-by-row solver needs.
-    """
+    """Linear classifier under hinge loss, by regularisation ``alpha`` or by ``C``,
+    iterated until the objective changes by less than ``tol``."""
     mergeable = True
 
-    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 100,
-                 tol: float = 1e-4):
+    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 2000,
+                 tol: float = 1e-6):
         self.alpha, self.C, self.max_iter, self.tol = alpha, C, max_iter, tol
 
     def fit(self, train, ctx):
@@ -132,7 +132,7 @@ class SupportVector(Model):
     """
 
     def __init__(self, kernel: str = "linear", C: float = 1.0, balanced: bool = False,
-                 n_components: int = 256, max_iter: int = 20, tol: float = 5e-3,
+                 n_components: int = 256, max_iter: int = 2000, tol: float = 1e-6,
                  input: str = "bow", calibration_folds: int = 5):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel: {kernel}")
@@ -147,8 +147,8 @@ class SupportVector(Model):
                                        self.n_components, ctx.seed)
             train = prepare(train)
         rows = weighted(train, ctx, self.balanced)
-        folded = right_sized(stratified_folds(rows, "id", "label", self.calibration_folds,
-                                              ctx.seed), ctx.n).persist()
+        folded = settled(stratified_folds(rows, "id", "label", self.calibration_folds,
+                                          ctx.seed)).persist()
         folded.count()      # stored before several fits read it at once
 
         def one(df, c):
@@ -157,9 +157,11 @@ class SupportVector(Model):
             def held_out(f):
                 def run():
                     part = df.where(F.col("fold") != f)
-                    if part.select("label").distinct().count() < 2:
+                    labels, n = part.agg(F.count_distinct("label"), F.sum(WEIGHT)).first()
+                    if labels < 2:
                         return None
-                    return _margin(est.fit(part))(df.where(F.col("fold") == f), "_margin")
+                    own = _svc(1.0 / (self.C * n), self.max_iter, self.tol)
+                    return _margin(own.fit(part))(df.where(F.col("fold") == f), "_margin")
                 return run
             parts = [p for p in in_parallel([held_out(f) for f in range(self.calibration_folds)],
                                             ctx.parallelism) if p is not None]

@@ -151,12 +151,13 @@ def poisson_weight(id_col: str, seed: int, rate: float) -> Column:
     Unlike ``sample`` it gives the same draw when a lost partition is recomputed.
     """
     u = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(2 ** 31)) / F.lit(float(2 ** 31))
-    out, term, cdf = F, math.exp(-rate), math.exp(-rate)
-    for n in range(12):
+    out, term, cdf, n = F, math.exp(-rate), math.exp(-rate), 0
+    while cdf < 1 - 2.0 ** -31 and n < 10 * rate + 40:     # as far as a draw can reach
         out = out.when(u < cdf, F.lit(float(n)))
-        term *= rate / (n + 1)
+        n += 1
+        term *= rate / n
         cdf += term
-    return out.otherwise(12.0)
+    return out.otherwise(float(n))
 
 
 class Bagging(Model):

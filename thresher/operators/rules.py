@@ -139,7 +139,7 @@ def topics_from_table(df: DataFrame, id_col: str, rules: DataFrame,
     """(id, text) with the rules taken from a table.
 
     A table of at most ``max_inline`` rows is read once and evaluated without a
-    shuffle; a larger one goes through ``topics_by_join``.
+    shuffle; a larger one goes through ``topics_by_join``, with the same result.
     """
     head = rules.orderBy("ord").limit(max_inline + 1).collect()
     if len(head) > max_inline:
@@ -163,7 +163,11 @@ def topics_by_join(df: DataFrame, id_col: str, rules: DataFrame,
                       F.lit(None).cast("boolean").alias("filled")) for c in numbers]
     cells += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("value"),
                        F.col(c).isNotNull().alias("filled")) for c in others]
-    long = df.select(id_col, F.inline(F.array(*cells)))
+    # equal rows are one row with a count; rows that only share an id stay apart
+    columns = [c for c in df.columns if c != id_col]
+    df = (df.groupBy(id_col, *columns).agg(F.count("*").alias("_copies"))
+          .withColumn("_row", F.struct(id_col, *columns)))
+    long = df.select(id_col, "_row", "_copies", F.inline(F.array(*cells)))
     if rules.limit(broadcast_below + 1).count() <= broadcast_below:
         rules = F.broadcast(rules)
     holds = F.when(F.col("filled").isNull(), _holds(F.col("op"), F.col("value"),
@@ -171,7 +175,9 @@ def topics_by_join(df: DataFrame, id_col: str, rules: DataFrame,
     holds = holds.otherwise(F.col("filled") & (F.col("op") == "!="))
     hits = F.sort_array(F.collect_list(F.when(
         F.col("name").isNotNull() & holds, F.struct("ord", "name"))))
-    found = long.join(rules, "column", "left").groupBy(id_col).agg(hits.alias("_hits"))
+    found = long.join(rules, "column", "left").groupBy(id_col, "_row", "_copies").agg(
+        hits.alias("_hits"))
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     text = F.array_join(F.transform("_hits", lambda h: h["name"]), " ")
     return found.select(id_col, F.when(F.size("_hits") == 0, F.lit(NORMAL))
                         .otherwise(text).alias("text"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from thresher.functions.columns import leading_parts, passes_unchanged, terms, topic_count
+from thresher.functions.columns import SPACES, leading_parts, passes_unchanged, terms, topic_count
 
 # Words per sentence and per paragraph.
 SENTENCE_WORDS = 5
@@ -114,7 +114,7 @@ def extraction_aliases(texts: DataFrame, sizes=None, baseline: bool = True,
     """
     facts = texts.agg(
         F.max(topic_count(text)).alias("m"),
-        F.max(F.coalesce(F.col(text) != F.trim(F.regexp_replace(text, r"\s+", " ")),
+        F.max(F.coalesce(F.col(text) != F.trim(F.regexp_replace(text, SPACES, " ")),
                          F.lit(False)).cast("int")).alias("irregular")).first()
     longest, irregular = facts["m"] or 0, bool(facts["irregular"])
     out = []

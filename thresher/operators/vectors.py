@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from thresher.functions.columns import distinct_terms
 
 MAX_FEATURES = 5000
+RANK_BUCKETS = 32
 POOLING = ("cls", "mean", "max", "hybrid")
 
 
@@ -29,10 +30,15 @@ def vocabulary(docs: DataFrame, text: str = "text", max_features: int = MAX_FEAT
 
 def keyed_vocabulary(frequencies: DataFrame, keys: Sequence[str],
                      max_features: int = MAX_FEATURES) -> DataFrame:
-    """``vocabulary`` per group; the rank limit is applied before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("df"), F.asc("term"))
-    return (frequencies.withColumn("_rank", F.row_number().over(w))
-            .where(F.col("_rank") <= max_features).drop("_rank"))
+    """``vocabulary`` per group: first within hash buckets of terms, then among what is left,
+    so the last ranking of a group sees at most ``RANK_BUCKETS * max_features`` rows."""
+    order = [F.desc("df"), F.asc("term")]
+    bucket = F.pmod(F.xxhash64("term"), F.lit(RANK_BUCKETS))
+    for part in ([*keys, bucket], list(keys)):
+        w = Window.partitionBy(*part).orderBy(*order)
+        frequencies = (frequencies.withColumn("_rank", F.row_number().over(w))
+                       .where(F.col("_rank") <= max_features).drop("_rank"))
+    return frequencies
 
 
 def vocabulary_pairs(docs: DataFrame, id_col: str, vocab: DataFrame,

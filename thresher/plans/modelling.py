@@ -119,7 +119,8 @@ def _(spark, sf):
                                ["word", "sentence", "paragraph"], "average"))
 
 
-@query("E2_token_states")
+@query("E2_token_states", f"""SELECT doc_id AS id, least(128, len(t)) AS tokens, 16 AS width
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS t FROM documents) WHERE len(t) > 0""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     encoder = WordVectorEncoder(size=16).fit(docs)
@@ -484,3 +485,28 @@ def _(spark, sf):
 def _(spark, sf):
     from thresher.evaluation.lifecycle import benchmark_named
     return benchmark_named(labelled_users(spark, sf), ["RidgeClassifier", "BernoulliNB"])
+
+
+# ---- ridge on two features against the normal equations ----
+
+RIDGE_SQL = """WITH d AS (
+  SELECT doc_id AS id, n_chars / 1000.0 AS x, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS z, 2.0 * toxic - 1 AS y
+  FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM d),
+s AS (SELECT sum((x - mx) * (x - mx)) + 1 AS xx, sum((z - mz) * (z - mz)) + 1 AS zz, sum((x - mx) * (z - mz)) AS xz,
+  sum((x - mx) * (y - my)) AS xy, sum((z - mz) * (y - my)) AS zy FROM d, m),
+b AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM s)
+SELECT id, round(my + bx * (x - mx) + bz * (z - mz), 6) + 0.0 AS score FROM d, m, b"""
+
+
+@query("M2_ridge_closed_form", RIDGE_SQL)
+def _(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    rows = table(spark, sf, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").alias("id"), "label", (F.col("n_chars") / 1000).alias("x"),
+        F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("z"))
+    rows = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(rows)
+    fitted = registry.classical_models()["RidgeClassifier"].fit(rows, describe(rows, 2))
+    scored = fitted.predict(rows)
+    return scored.select("id", (F.round("score", 6) + F.lit(0.0)).alias("score"))

@@ -54,7 +54,8 @@ def _(spark, sf):
     return io.open_dataset(spark, data=src, label="target")
 
 
-@query("S6_results_sink")
+@query("S6_results_sink", "WITH " + SUMMARY_SQL + """ SELECT model, metric, round(mean, 6) AS mean, round(std, 6) AS std, format
+  FROM summary, (VALUES ('csv'), ('json'), ('parquet')) AS f(format)""")
 def _(spark, sf):
     out = None
     s = cut_lineage(summary(spark, sf))
@@ -64,7 +65,7 @@ def _(spark, sf):
         back = io.load_data(spark, path, fmt, s.schema.simpleString()[7:-1]
                             .replace(":", " ")).withColumn("format", F.lit(fmt))
         out = back if out is None else out.unionByName(back)
-    return out
+    return out.select("model", "metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "format")
 
 
 @query("S7_save_results")
@@ -83,7 +84,11 @@ def _(spark, sf):
     return io.load_results(spark, path)
 
 
-@query("S9_export_tables")
+@query("S9_export_tables", "WITH " + SCORES_SQL + """
+SELECT 'level_scores' AS name, count(*) AS rows FROM scores
+UNION ALL SELECT 'performance_summary', count(DISTINCT model) FROM scores
+UNION ALL SELECT 'best_models', count(DISTINCT category) FROM scores
+UNION ALL SELECT 'benchmark_summary', 7 + 3 * count(DISTINCT level) FROM scores""")
 def _(spark, sf):
     path = io.scratch_path(spark, "tables")
     names = io.export_tables(scores(spark, sf), path, "parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from thresher.operators import advice, agreement as G, metrics as M, ranking as K
 from thresher.operators.folds import stratified_folds
 from thresher.operators.ordering import running_sums
-from thresher.plans.common import (AP_SQL, AUC_SQL, CELLS_SQL, MODELS, PREDS_SQL, RESULTS_SQL,
+from thresher.plans.common import (AP_SQL, AUC_SQL, CELLS_SQL, MODELS, ORACLES, PREDS_SQL, RESULTS_SQL,
                                    SCORES_SQL, SUMMARY_SQL, cell_predictions, predictions, query,
                                    results, scores, summary, table)
 from thresher.session import cut_lineage
@@ -402,3 +402,7 @@ l(s, i, j, line) AS (
 SELECT CAST(row_number() OVER (ORDER BY s, i, j) AS INT) AS line_no, line FROM l""")
 def _(spark, sf):
     return K.benchmark_report(cut_lineage(scores(spark, sf)))
+
+
+# The saved report holds the lines of the report, its lines are those of V6.
+ORACLES["S7_save_results"] = f"SELECT line FROM ({ORACLES['V6_benchmark_report']})"
