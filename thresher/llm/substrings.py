@@ -133,7 +133,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         f, doc = f[order], doc[order]
         same = f[1:] == f[:-1]
         twice = np.append(False, same) | np.append(same, False)
-        yield from _settled(packed + _packed(doc[twice[:len(f)]], f[twice[:len(f)]]))
+        twice = twice[:len(f)]
+        yield from _settled(packed, doc[twice], f[twice])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -150,12 +151,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     wanted[sizes[i]:sizes[i + 1]] = repeated[spot] == own
             f, g = found.fingerprints()
             doc = batch.column("doc").to_numpy()[found.text]
-            yield from _rows(*_first_of_each(f[wanted], g[wanted], doc[wanted]))
+            *first, later, marks = _first_of_each(f[wanted], g[wanted], doc[wanted])
+            yield from _rows(*first, _packed(later, marks))
 
     def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, g, doc, packed = _gathered(batches)
-        *_, later = _first_of_each(f, g, doc)
-        yield from _settled(packed + later)
+        *_, doc, marks = _first_of_each(f, g, doc)
+        yield from _settled(packed, doc, marks)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -212,16 +214,20 @@ def _gathered(batches: Iterator[pa.RecordBatch]
     return join(f).view(np.uint64), join(g).view(np.uint64), join(doc), packed
 
 
-def _settled(packed: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    merged: dict[int, list[bytes]] = {}
-    for doc, blob in packed:
-        merged.setdefault(doc, []).append(blob)
-    items = list(merged.items())
-    for at in range(0, len(items), 10_000):
-        part = items[at:at + 10_000]
+def _settled(packed: list[tuple[int, bytes]], doc: np.ndarray, values: np.ndarray
+             ) -> Iterator[pa.RecordBatch]:
+    """What was settled before, and a row for each value found here."""
+    for at in range(0, len(packed), 10_000):
+        part = packed[at:at + 10_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in part], pa.int64()),
-             pa.array([b"".join(b) for _, b in part], pa.binary())], names=["doc", "packed"])
+            [pa.array([d for d, _ in part], pa.int64()), pa.array([b for _, b in part], pa.binary())],
+            names=["doc", "packed"])
+    for at in range(0, len(doc), 1 << 17):
+        part = values[at:at + (1 << 17)]
+        ends = np.arange(len(part) + 1, dtype=np.int32) * 8
+        blobs = pa.Array.from_buffers(pa.binary(), len(part),
+                                      [None, pa.py_buffer(ends), pa.py_buffer(part.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at:at + (1 << 17)]), blobs], names=["doc", "packed"])
 
 
 def _marks(f: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -230,8 +236,8 @@ def _marks(f: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def _first_of_each(f: np.ndarray, g: np.ndarray, doc: np.ndarray
-                   ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
-    """The earliest row of each fingerprint; the others, packed by document."""
+                   ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The earliest row of each fingerprint; documents and marks of the others."""
     order = np.lexsort((g & LOW, doc, g >> HIGH, f))
     f, g, doc = f[order], g[order], doc[order]
     new = np.append(True, (f[1:] != f[:-1]) | ((g[1:] ^ g[:-1]) > LOW))[:len(f)]
@@ -239,4 +245,4 @@ def _first_of_each(f: np.ndarray, g: np.ndarray, doc: np.ndarray
     # a row that repeats both id and start is not later than the first
     level = ~new & (doc == doc[leader]) & (((g ^ g[leader]) & LOW) == 0)
     later = ~(new | level)
-    return f[new], g[new], doc[new], _packed(doc[later], _marks(f[later], g[later]))
+    return f[new], g[new], doc[new], doc[later], _marks(f[later], g[later])
