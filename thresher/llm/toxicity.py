@@ -24,6 +24,7 @@ SAMPLE = 16_000             # labelled documents for the lexicons and the start
 FITTED = 16_000             # documents for the linear classifier
 TERMS = 1024
 MIN_RATIO = 19.5
+MIN_ODDS = 4.0              # a term that clean texts hold as well adds up in long ones
 BEGINNING = 4               # characters of a word beginning
 WORD_LEXICONS, BEGINNING_LEXICONS = 5, 4
 PATTERNS = 4
@@ -123,7 +124,7 @@ def mine_lexicons(sample: DataFrame) -> Lexicons:
     best = (sample.mapInArrow(run, "term string, clean long, toxic long")
             .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
             .withColumn("odds", odds)
-            .where((F.col("odds") > 2) & (both("toxic", toxic) + both("clean", clean) > MIN_RATIO))
+            .where((F.col("odds") > MIN_ODDS) & (both("toxic", toxic) + both("clean", clean) > MIN_RATIO))
             .withColumn("gain", F.col("toxic") * F.col("odds"))
             .orderBy(F.desc("gain"), "term").limit(TERMS)
             .select("term", "odds", F.pmod(F.xxhash64("term"), F.lit(1 << 30)).alias("h")).collect())
@@ -304,3 +305,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     schema = docs.select(*others).schema.add("score", "double")
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, at: float, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without the rows that score ``at`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = TermIds(shared.value.lexicons.terms)
+        for batch in slices(batches, text_col):
+            keep = [shared.value.score(ids.of(t or b"")[0]) < at
+                    for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
