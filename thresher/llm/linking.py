@@ -1,4 +1,4 @@
-"""Connected groups of rows that share buckets and pass a check of pairs.
+"""Connected groups of rows that share buckets, have close bitmaps and pass a check of pairs.
 
 Used where a bucket may hold any share of the rows: no bucket is expanded into all its
 pairs, and none is collected into one task.
@@ -6,24 +6,33 @@ pairs, and none is collected into one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from thresher.llm.staging import staged
 
+TILE = 1024
+NEAREST = 2
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node reachable, for every node of a link ``a``, ``b``.
 
-    Alternates two steps until the edges no longer change: every node hands its larger
+    Alternates two steps until every node hangs on one root: a node hands its larger
     neighbours to its least one, then its smaller neighbours. Hot nodes meet only in
-    minimums, which are summed before the shuffle, and in joins that Spark can split.
+    minimums, which are taken before the shuffle, and in joins that Spark can split.
     """
     edges = (links.where("a != b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"))
              .distinct())
-    state = None
     while True:
+        roots = staged(edges.select(F.col("u").alias("node"), "v")
+                       .unionByName(edges.select(F.col("v").alias("node"), "v"))
+                       .groupBy("node").agg(F.min("v").alias("root"), F.max("v").alias("last")), "roots")
+        if roots.where("root != last").isEmpty():
+            return roots.select("node", "root")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,51 +41,145 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = staged(small.select("e.u", F.col("e.m").alias("v")).where("u != v").distinct(), "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
-
-
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                  extra_links: DataFrame | None = None) -> DataFrame:
-    """``node`` and ``root`` over all true links between rows of one bucket.
-
-    ``members`` has ``key``, ``node`` and ``size``; ``verify`` keeps the true links among
-    pairs ``a``, ``b``. Every bucket first links its rows to one hub, the row with most
-    bucket mates in all its buckets. That joins most of a group of copies. Afterwards only
-    rows outside a bucket's main component are compared with the rest of the bucket, so the
-    groups are those of all pairs although few pairs are looked at.
+        edges = staged(small.select("e.u", F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
+
+
+def differing_bits(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                       lambda total, n: total + n)
+
+
+def linked_groups(members: DataFrame, traits: DataFrame, confirm: Callable[[DataFrame], DataFrame],
+                  most_bits: int, size_percent: int, extra_links: DataFrame | None = None,
+                  closer: Callable[[DataFrame], DataFrame] | None = None,
+                  most_fine_bits: int = 0) -> DataFrame:
+    """``node`` and ``root`` over all true links between nodes that share a bucket.
+
+    ``members`` has ``key`` and ``node``, ``traits`` has ``node``, ``size`` and ``bits`` (longs).
+    A pair can only be linked if its bitmaps differ in at most ``most_bits`` places and what it
+    has in common, the smaller size at most, is ``size_percent`` of all it has; ``confirm`` keeps the true links
+    among such pairs ``a``, ``b``. Nodes without a link are left out. ``closer`` may look again at
+    the few nodes ``node``, ``outside`` that are left at the end: ``shared``, how much of each outside
+    node occurs in another of them, bounds what two nodes have in common, and ``fine`` is a longer
+    bitmap, of which at most ``most_fine_bits`` may differ.
+
+    Every bucket first links its rows to one hub, the row with most bucket mates in all its
+    buckets. That joins most of a group of copies. Afterwards only rows outside a bucket's main
+    component are compared with the rest of the bucket, by bitmap and in tiles: first each with
+    its nearest few of each tile, which joins most rows that belong to a group, then those that
+    are still outside with all close rows. So the groups are those of all pairs.
     """
-    spark = members.sparkSession
     shared = members.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
-    members = staged(members.join(shared, "key"), "members")
+    members = staged(members.join(shared, "key").join(traits, "node"), "members")
     weight = members.groupBy("node").agg(F.sum("mates").alias("weight"))
     hubs = (members.join(weight, "node").groupBy("key")
-            .agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub")))
-    stars = staged(members.join(hubs, "key").where("node != hub")
+            .agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("size").alias("hub_size"),
+                                   F.col("bits").alias("hub_bits")),
+                          F.struct("weight", -F.col("node"))).alias("h")).select("key", "h.*"))
+    fits = (F.lit(100) * F.least("size", "hub_size") >= F.lit(size_percent) * F.greatest("size", "hub_size"))
+    stars = staged(members.join(hubs, "key").where(F.col("node") != F.col("hub"))
+                   .where(fits & (differing_bits("bits", "hub_bits") <= most_bits))
                    .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(),
                    "stars")
-    links = staged(verify(stars), "links")
+    links = staged(confirm(stars), "links")
     if extra_links is not None:
         links = links.unionByName(extra_links)
     groups = connected_components(links)
 
-    placed = staged(members.join(groups, "node", "left").select(
-        "key", "node", "size", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    placed = placed.join(mixed.select("key"), "key", "left_semi")
-    main = (placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-            .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
-    outside = (placed.join(main, "key").where("root != main")
-               .select("key", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("root").alias("x_root")))
-    pairs = (outside.join(placed, "key").where("root != x_root")
-             .where("100 * least(size, x_size) >= 80 * greatest(size, x_size)")
-             .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    more = staged(verify(staged(pairs, "pairs")), "links")
-    if more.isEmpty():
-        return groups
-    return connected_components(links.unionByName(more))
+    tested = stars
+    for nearest in (NEAREST, None):
+        placed = staged(members.drop("mates").join(groups, "node", "left")
+                        .withColumn("root", F.coalesce("root", "node")), "placed")
+        main = (placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+                .agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("rows"),
+                     (F.sum("n") - F.max("n")).alias("outside"), F.count("*").alias("roots"))
+                .where("roots > 1").drop("roots"))
+        mixed = placed.join(main, "key").withColumn("shared", F.col("size"))
+        if nearest is None and closer is not None:
+            mixed = staged(mixed.drop("shared"), "mixed")
+            outside = (F.col("root") != F.col("main")).alias("outside")
+            traits = closer(mixed.select("node", outside).groupBy("node").agg(F.max("outside").alias("outside")))
+            mixed = mixed.join(traits, "node")
+        pairs = staged(_tiled_pairs(mixed, most_bits, most_fine_bits, size_percent, nearest).distinct()
+                       .join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = staged(confirm(pairs), "links")
+        if more.isEmpty():
+            continue
+        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        groups = connected_components(links)
+    return groups
+
+
+def _tiled_pairs(rows: DataFrame, most_bits: int, most_fine_bits: int, size_percent: int,
+                 nearest: int | None) -> DataFrame:
+    """Pairs of close rows of one key, one of them outside the main root, of different roots;
+    with ``nearest``, each outside row only with that many of its closest in a tile.
+
+    A key's rows are dealt into blocks of about ``TILE``; each block of outside rows meets
+    each block of all rows in a tile of its own.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    kept = [c for c in rows.columns if c not in ("main", "rows", "outside")]
+    asked = rows.select(*kept, F.lit(False).alias("asks"), F.explode(numbers("outside")).alias("p"),
+                        own("rows").alias("q"))
+    asking = rows.where("root != main").select(*kept, F.lit(True).alias("asks"), own("outside").alias("p"),
+                                               F.explode(numbers("rows")).alias("q"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")], 1)
+            cuts = np.append(np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1, batch.num_rows)
+            start = 0
+            for cut in cuts.tolist():
+                part = batch.slice(start, cut - start)
+                if start == 0 and held and _tile_of(held[-1]) != _tile_of(part):
+                    yield _close_pairs(held, most_bits, most_fine_bits, size_percent, nearest)
+                    held = []
+                elif start:
+                    yield _close_pairs(held, most_bits, most_fine_bits, size_percent, nearest)
+                    held = []
+                held.append(part)
+                start = cut
+        if held:
+            yield _close_pairs(held, most_bits, most_fine_bits, size_percent, nearest)
+
+    return (asked.unionByName(asking).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+            .mapInArrow(compare, "a long, b long"))
+
+
+def _tile_of(batch: pa.RecordBatch) -> tuple:
+    return tuple(batch.column(c)[0].as_py() for c in ("key", "p", "q"))
+
+
+def _close_pairs(parts: list[pa.RecordBatch], most_bits: int, most_fine_bits: int, size_percent: int,
+                 nearest: int | None) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    asks = rows.column("asks").to_numpy()
+    node, size, shared, root = (rows.column(c).to_numpy() for c in ("node", "size", "shared", "root"))
+    bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    fine = None
+    if "fine" in rows.column_names:
+        fine = rows.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    a, b = [], []
+    others = np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks).tolist():
+        common = np.minimum(shared[others], shared[i])
+        fits = others[(root[others] != root[i])
+                      & (100 * common >= size_percent * (size[others] + size[i] - common))]
+        differ = np.bitwise_count(bits[fits] ^ bits[i]).sum(1, dtype=np.int64)
+        if nearest is not None:
+            first = np.argsort(differ, kind="stable")[:nearest]
+            fits, differ = fits[first], differ[first]
+        close = fits[differ <= most_bits]
+        if fine is not None:
+            close = close[np.bitwise_count(fine[close] ^ fine[i]).sum(1, dtype=np.int64) <= most_fine_bits]
+        a.append(np.minimum(node[close], node[i]))
+        b.append(np.maximum(node[close], node[i]))
+    none = [np.empty(0, np.int64)]
+    found = np.unique(np.stack([np.concatenate(a or none), np.concatenate(b or none)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])

@@ -7,18 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.linking import linked_groups
 from thresher.llm.staging import staged
-from thresher.llm.urls import MAX_BLOCKS, blocked_bloom, might_hold
+from thresher.llm.urls import blocked_bloom, might_hold
 from thresher.llm.words import WordHashes, mix, rolling, slices, split_words
 
 MISSING_ID = (1 << 63) - 1          # a null id comes after all others
 BASE = 0x9E3779B97F4A7C15
 BANDS, BAND_ROWS = 36, 5            # a pair at 0.8 shares no band with probability 6e-7
 SKETCH_BITS = 1024
-SIFT = 0.6                          # 6 deviations below 0.8 for 180 samples
+FINE_SAMPLES, FINE_BITS, FINE_SIFT = 1440, 4096, 0.747    # as rare, for a pair at 0.8
+FILTER_BLOCKS = 1 << 15
+SIFT = 0.66                         # the share of 180 samples is as low for a pair at 0.8 once in 10^6
 
 
 def shingle_sets(texts: list[bytes], cache: WordHashes, n: int) -> list[np.ndarray]:
@@ -79,12 +81,10 @@ class MinHash:
                            axis=1, bitorder="little").view(np.uint64)
 
 
-def _similar_sketches(a: str, b: str, bits: int, samples: int, at_least: float) -> Column:
-    """Whether the population count of the XOR allows a similarity of ``at_least``."""
-    differing = 2 * samples * (1 - at_least)        # elements in one of the two sets only
-    most = math.ceil(bits / 2 * (1 - math.exp(-2 * differing / bits)))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                       F.lit(0), lambda s, x: s + x) <= most
+def most_differing(bits: int, samples: int, at_least: float) -> int:
+    """The population count of the XOR of two sketches that a similarity allows."""
+    elements = 2 * samples * (1 - at_least)         # those in one of the two sets only
+    return math.ceil(bits / 2 * (1 - math.exp(-2 * elements / bits)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -103,7 +103,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document of several texts. A null id comes after all others and stays null. An empty
     table gives no rows; other columns are ignored. Texts of any length count whole.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MISSING_ID)).alias("doc"),
                        F.col(text_col).cast("string").alias("text"))
 
@@ -144,30 +143,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .agg(F.min_by(F.struct("doc", "keys", "sketch"), "doc").alias("first"))
                .select("f", "g", "size", F.col("first.doc").alias("node"), "first.keys", "first.sketch"))
     classes = staged(classes, "classes")
-    # several texts under one id: any of them may stand for the class, each is compared
-    sketches = classes.select("node", "size", "sketch")
     of_doc = signed.where("size > 0").select("doc", "f", "g", "size").join(
         classes.select("f", "g", "size", "node"), ["f", "g", "size"]).select("doc", "size", "node")
-    several = of_doc.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    same_id = of_doc.join(several, "doc").select("a", F.col("node").alias("b")).where("a != b").distinct()
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda name: sketches.select(F.col("node").alias(name), F.col("size").alias(f"n_{name}"),
-                                            F.col("sketch").alias(f"s_{name}"))
-        sifted = staged(
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-            .where(_similar_sketches("s_a", "s_b", bits, bands * band_rows, SIFT)).select("a", "b"), "sifted")
-        nodes = sifted.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        # only texts that a pair needs are moved: the filter has a fixed size, the join is exact
-        bloom = blocked_bloom(nodes.select(F.xxhash64("doc").alias("h")), "h", MAX_BLOCKS).scalar()
-        texts = rows.where(might_hold(bloom, F.xxhash64("doc"))).dropna().join(nodes, "doc")
-        pair_texts = (sifted.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-                      .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b"))
+    same_id = None
+    rows_signed, ids = signed.agg(F.count("*"), F.count_distinct("doc")).first()
+    if ids < rows_signed:       # several texts under one id link their classes
+        first = of_doc.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+        same_id = of_doc.join(first, "doc").select("a", F.col("node").alias("b")).where("a != b").distinct()
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        # only texts that are needed are moved: the filter has a fixed size, the join is exact
+        bloom = blocked_bloom(nodes.select(F.xxhash64("node").alias("h")), "h", FILTER_BLOCKS).scalar()
+        return (rows.where(might_hold(bloom, F.xxhash64("doc"))).dropna()
+                .withColumnRenamed("doc", "node").join(nodes, "node"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        nodes = staged(pairs.select(F.col("a").alias("node")).unionByName(
+            pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+        texts = texts_of(nodes)
+        pair_texts = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+                      .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
         return pair_texts.mapInArrow(confirm, "a long, b long").distinct()
 
-    members = classes.select(F.explode("keys").alias("key"), "node", "size")
-    groups = linked_groups(members, verify, same_id)
+    def list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in slices(batches, most=1 << 20):
+            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), cache, shingle)
+            of = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(of), batch.column("outside").take(of),
+                 pa.array(np.concatenate(sets).view(np.int64))], names=["node", "outside", "h"])
+
+    def sketch_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, minhash = WordHashes(), MinHash(FINE_SAMPLES, 1, FINE_BITS, seed=5)
+        for batch in slices(batches, most=1 << 20):
+            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), cache, shingle)
+            sketches = minhash.odd_sketches(minhash.samples(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(sketches), pa.list_(pa.int64()))],
+                                             names=["node", "fine"])
+
+    def closer(nodes: DataFrame) -> DataFrame:
+        texts = staged(texts_of(staged(nodes, "wanted")), "texts")
+        found = staged(texts.select("node", "outside", "text")
+                       .mapInArrow(list_shingles, "node long, outside boolean, h long"), "shingles")
+        several = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        own = found.where("outside").join(several, "h").groupBy("node").agg(F.count("*").alias("shared"))
+        sketches = texts.select("node", "text").mapInArrow(sketch_again, "node long, fine array<long>")
+        sizes = classes.select("node", "size")
+        return (texts.select("node", "outside").join(own, "node", "left").join(sketches, "node").join(sizes, "node")
+                .select("node", "fine", F.when(F.col("outside"), F.coalesce("shared", F.lit(0)))
+                        .otherwise(F.col("size")).alias("shared")))
+
+    members = classes.select(F.explode("keys").alias("key"), "node")
+    traits = classes.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("bits")) \
+        if same_id is not None else classes.select("node", "size", F.col("sketch").alias("bits"))
+    groups = linked_groups(members, traits, confirmed, most_differing(bits, bands * band_rows, SIFT),
+                           threshold, same_id, closer if same_id is None else None,
+                           most_differing(FINE_BITS, FINE_SAMPLES, FINE_SIFT))
     found = of_doc.join(groups, "node", "left").select(
         "doc", "size", F.coalesce("root", "node").alias("root"))
     alone = signed.where("size = 0").select("doc", "size", F.col("doc").alias("root"))

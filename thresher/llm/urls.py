@@ -50,14 +50,13 @@ def _mask(h: Column) -> Column:
 def blocked_bloom(entries: DataFrame, hash_col: str, blocks: int) -> DataFrame:
     """One row with ``blocks``: an array of 64-bit blocks that holds all hashes."""
     h = F.col(hash_col)
-    filled = (entries.groupBy(_block(h, F.lit(blocks)).alias("at"))
-              .agg(F.bit_or(_mask(h)).alias("mask")))
-    every = entries.sparkSession.range(blocks).select(F.col("id").cast("int").alias("at"))
+    every = entries.sparkSession.range(blocks).select(F.col("id").cast("int").alias("at"),
+                                                      F.lit(0).cast("long").alias("mask"))
+    filled = (entries.select(_block(h, F.lit(blocks)).alias("at"), _mask(h).alias("mask"))
+              .unionByName(every).groupBy("at").agg(F.bit_or("mask").alias("mask")))
     # built in slices of 1024 blocks, so that no task sees more than a few thousand rows
-    parts = (every.join(filled, "at", "left")
-             .groupBy((F.col("at") / 1024).cast("int").alias("part"))
-             .agg(F.sort_array(F.collect_list(
-                 F.struct("at", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("own")))
+    parts = (filled.groupBy((F.col("at") / 1024).cast("int").alias("part"))
+             .agg(F.sort_array(F.collect_list(F.struct("at", "mask"))).alias("own")))
     return parts.agg(F.transform(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("part", "own"))), lambda p: p["own"])),
         lambda x: x["mask"]).alias("blocks"))
