@@ -33,7 +33,7 @@ def fit_model(model: Model, train: DataFrame, bag: BagOfWords | None, ctx):
     rows = merge_rows(train) if model.mergeable and model.input != "embedding" else train
     if model.input != "text":
         rows = bag.transform(rows)
-    rows = settled(rows).persist()
+    rows = settled(rows, ctx.n).persist()
     try:
         return model.fit(rows, ctx)
     finally:

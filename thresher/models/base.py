@@ -115,13 +115,17 @@ class Fitted:
         return rows.withColumn(out, proba).select(*df.columns, out)
 
 
-def settled(train: DataFrame) -> DataFrame:
-    """The same rows in the same partitions and order, however they arrived.
+ROWS_PER_PARTITION = 20_000
 
-    Spark ML draws its samples by partition and row. Dealt by a hash of the id and sorted,
-    they depend on the rows and the session's shuffle partitions only.
+
+def settled(train: DataFrame, n: float) -> DataFrame:
+    """The same ``n`` rows in the same partitions and order, however they arrived.
+
+    Spark ML draws its samples by partition and row. Dealt by a hash of the id into partitions
+    of a fixed number of rows, and sorted, they depend on the rows only. The shuffle leaves the
+    work that made the rows as parallel as it was.
     """
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-int(n) // ROWS_PER_PARTITION))
     return train.repartition(parts, "id").sortWithinPartitions("id")
 
 

@@ -111,7 +111,7 @@ class EmbeddingClassifier(Model):
 
     def fit(self, train, ctx):
         encoder = self.encoder.fit(train)       # a fitted one, held by the fitted model only
-        rows = settled(embed(train.drop("features"), encoder, self.strategy)).persist()
+        rows = settled(embed(train.drop("features"), encoder, self.strategy), ctx.n).persist()
         width = encoder.size * (3 if self.strategy == "hybrid" else 1)
         inner = self.head.fit(rows, replace(ctx, n_features=width))
         rows.unpersist()
@@ -155,7 +155,7 @@ class MultilevelClassifier(Model):
         grid = extraction_grid(base, sizes=self.sizes, baseline=False)
         kept = grid.where(F.array_contains(wanted, F.concat_ws(":", "level", "size")))
         keyed = kept.withColumn("id", F.concat_ws("|", F.col("id").cast("string"), "level", "size"))
-        features = settled(embed(keyed, encoder)).persist()
+        features = settled(embed(keyed, encoder), ctx.n).persist()
         features.count()
         width = encoder.size * 3
 

@@ -55,7 +55,8 @@ class Stacking(Model):
 
     def fit(self, train: DataFrame, ctx: Context) -> "FittedStacking":
         names = list(self.members)
-        folded = settled(stratified_folds(train, "id", "label", self.folds, ctx.seed)).persist()
+        folded = settled(stratified_folds(train, "id", "label", self.folds, ctx.seed),
+                         ctx.n).persist()
         folded.count()      # stored before several fits read it at once
         inner = replace(ctx, parallelism=1)
 

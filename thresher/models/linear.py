@@ -109,11 +109,14 @@ def _svc(reg: float, max_iter: int, tol: float) -> LinearSVC:
 
 
 class HingeLinear(Model):
-    """Linear classifier under hinge loss, by regularisation ``alpha`` or by ``C``,
-    iterated until the objective changes by less than ``tol``."""
+    """Linear classifier under hinge loss, by regularisation ``alpha`` or by ``C``.
+
+    An iteration is a pass over all rows; it ends when the objective changes by less than
+    ``tol``, after ``max_iter`` at the latest.
+    """
     mergeable = True
 
-    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 1000,
+    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 200,
                  tol: float = 1e-6):
         self.alpha, self.C, self.max_iter, self.tol = alpha, C, max_iter, tol
 
@@ -132,7 +135,7 @@ class SupportVector(Model):
     """
 
     def __init__(self, kernel: str = "linear", C: float = 1.0, balanced: bool = False,
-                 n_components: int = 256, max_iter: int = 200, tol: float = 1e-5,
+                 n_components: int = 256, max_iter: int = 100, tol: float = 1e-5,
                  input: str = "bow", calibration_folds: int = 5):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel: {kernel}")
@@ -148,7 +151,7 @@ class SupportVector(Model):
             train = prepare(train)
         rows = weighted(train, ctx, self.balanced)
         folded = settled(stratified_folds(rows, "id", "label", self.calibration_folds,
-                                          ctx.seed)).persist()
+                                          ctx.seed), ctx.n).persist()
         folded.count()      # stored before several fits read it at once
 
         def one(df, c):
