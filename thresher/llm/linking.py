@@ -60,8 +60,9 @@ def linked_groups(members: DataFrame, traits: DataFrame, confirm: Callable[[Data
     has in common, the smaller size at most, is ``size_percent`` of all it has; ``confirm`` keeps the true links
     among such pairs ``a``, ``b``. Nodes without a link are left out. ``closer`` may look again at
     the few nodes ``node``, ``outside`` that are left at the end: ``shared``, how much of each outside
-    node occurs in another of them, bounds what two nodes have in common, and ``fine`` is a longer
-    bitmap, of which at most ``most_fine_bits`` may differ.
+    node occurs in another of them, bounds what two nodes have in common, ``fine`` is a longer
+    bitmap, of which at most ``most_fine_bits`` may differ, and ``keys`` are the node's buckets, one
+    for each place, so that a pair is made once.
 
     Every bucket first links its rows to one hub, the row with most bucket mates in all its
     buckets. That joins most of a group of copies. Afterwards only rows outside a bucket's main
@@ -165,6 +166,9 @@ def _close_pairs(parts: list[pa.RecordBatch], most_bits: int, most_fine_bits: in
     fine = None
     if "fine" in rows.column_names:
         fine = rows.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    keys, key = None, rows.column("key")[0].as_py()
+    if "keys" in rows.column_names:
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     a, b = [], []
     others = np.flatnonzero(~asks)
     for i in np.flatnonzero(asks).tolist():
@@ -176,6 +180,9 @@ def _close_pairs(parts: list[pa.RecordBatch], most_bits: int, most_fine_bits: in
             first = np.argsort(differ, kind="stable")[:nearest]
             fits, differ = fits[first], differ[first]
         close = fits[differ <= most_bits]
+        if keys is not None:            # the first bucket that two rows share makes their pair
+            same = keys[close] == keys[i]
+            close = close[keys[i][same.argmax(1)] == key] if len(close) else close
         if fine is not None:
             close = close[np.bitwise_count(fine[close] ^ fine[i]).sum(1, dtype=np.int64) <= most_fine_bits]
         a.append(np.minimum(node[close], node[i]))

@@ -189,9 +189,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
         own = found.where("outside").join(several, "h").groupBy("node").agg(F.count("*").alias("shared"))
         sketches = texts.select("node", "text").mapInArrow(sketch_again, "node long, fine array<long>")
-        sizes = classes.select("node", "size")
+        sizes = classes.select("node", "size", "keys")
         return (texts.select("node", "outside").join(own, "node", "left").join(sketches, "node").join(sizes, "node")
-                .select("node", "fine", F.when(F.col("outside"), F.coalesce("shared", F.lit(0)))
+                .select("node", "fine", "keys", F.when(F.col("outside"), F.coalesce("shared", F.lit(0)))
                         .otherwise(F.col("size")).alias("shared")))
 
     members = classes.select(F.explode("keys").alias("key"), "node")
