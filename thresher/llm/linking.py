@@ -129,64 +129,79 @@ def _tiled_pairs(rows: DataFrame, most_bits: int, most_fine_bits: int, size_perc
                                                F.explode(numbers("rows")).alias("q"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        # rows come sorted by tile; the last tile of a batch may go on in the next one
+        rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tile = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")], 1)
-            cuts = np.append(np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1, batch.num_rows)
-            start = 0
-            for cut in cuts.tolist():
-                part = batch.slice(start, cut - start)
-                if start == 0 and held and _tile_of(held[-1]) != _tile_of(part):
-                    yield _close_pairs(held, most_bits, most_fine_bits, size_percent, nearest)
-                    held = []
-                elif start:
-                    yield _close_pairs(held, most_bits, most_fine_bits, size_percent, nearest)
-                    held = []
-                held.append(part)
-                start = cut
-        if held:
-            yield _close_pairs(held, most_bits, most_fine_bits, size_percent, nearest)
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            starts = _tile_starts(rows)
+            yield from _close_pairs(rows.slice(0, starts[-1]), most_bits, most_fine_bits, size_percent, nearest)
+            rest = rows.slice(starts[-1])
+        if rest is not None:
+            yield from _close_pairs(rest, most_bits, most_fine_bits, size_percent, nearest)
 
     return (asked.unionByName(asking).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
             .mapInArrow(compare, "a long, b long"))
 
 
-def _tile_of(batch: pa.RecordBatch) -> tuple:
-    return tuple(batch.column(c)[0].as_py() for c in ("key", "p", "q"))
+def _tile_starts(rows: pa.Table) -> np.ndarray:
+    tile = np.stack([rows.column(c).to_numpy() for c in ("key", "p", "q")], 1)
+    return np.append(0, np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1)
 
 
-def _close_pairs(parts: list[pa.RecordBatch], most_bits: int, most_fine_bits: int, size_percent: int,
-                 nearest: int | None) -> pa.RecordBatch:
-    rows = pa.Table.from_batches(parts).combine_chunks()
+def _bitmaps(rows: pa.Table, column: str) -> np.ndarray | None:
+    if column not in rows.column_names:
+        return None
+    flat = rows.column(column).combine_chunks().flatten().to_numpy()
+    return flat.view(np.uint64).reshape(rows.num_rows, -1)
+
+
+def _close_pairs(rows: pa.Table, most_bits: int, most_fine_bits: int, size_percent: int,
+                 nearest: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole tiles: all asking rows of a tile with all its other rows, many tiles at once."""
+    if not rows.num_rows:
+        return
+    rows = rows.combine_chunks()
     asks = rows.column("asks").to_numpy()
-    node, size, shared, root = (rows.column(c).to_numpy() for c in ("node", "size", "shared", "root"))
-    bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-    fine = None
-    if "fine" in rows.column_names:
-        fine = rows.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-    keys, key = None, rows.column("key")[0].as_py()
-    if "keys" in rows.column_names:
-        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    a, b = [], []
-    others = np.flatnonzero(~asks)
-    for i in np.flatnonzero(asks).tolist():
-        common = np.minimum(shared[others], shared[i])
-        fits = others[(root[others] != root[i])
-                      & (100 * common >= size_percent * (size[others] + size[i] - common))]
-        differ = np.bitwise_count(bits[fits] ^ bits[i]).sum(1, dtype=np.int64)
-        if nearest is not None:
-            first = np.argsort(differ, kind="stable")[:nearest]
-            fits, differ = fits[first], differ[first]
-        close = fits[differ <= most_bits]
-        if keys is not None:            # the first bucket that two rows share makes their pair
-            same = keys[close] == keys[i]
-            close = close[keys[i][same.argmax(1)] == key] if len(close) else close
-        if fine is not None:
-            close = close[np.bitwise_count(fine[close] ^ fine[i]).sum(1, dtype=np.int64) <= most_fine_bits]
-        a.append(np.minimum(node[close], node[i]))
-        b.append(np.maximum(node[close], node[i]))
-    none = [np.empty(0, np.int64)]
-    found = np.unique(np.stack([np.concatenate(a or none), np.concatenate(b or none)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+    node, size, shared, root, key = (rows.column(c).to_numpy() for c in ("node", "size", "shared", "root", "key"))
+    bits, fine, keys = (_bitmaps(rows, c) for c in ("bits", "fine", "keys"))
+    starts = _tile_starts(rows)
+    ends = np.append(starts[1:], rows.num_rows)
+    tile = np.repeat(np.arange(len(starts)), ends - starts)
+    # in each tile the rows asked come first
+    order = np.lexsort((asks, tile))
+    others = np.bincount(tile, ~asks, len(starts)).astype(np.int64)
+    asking = order[asks[order]]
+    counts = others[tile[asking]]
+    limit = np.cumsum(counts)
+    at = 0
+    while at < len(asking):             # about a quarter of a million pairs at a time
+        to = max(at + 1, int(np.searchsorted(limit, (limit[at - 1] if at else 0) + (1 << 18), side="right")))
+        own, n = asking[at:to], counts[at:to]
+        at = to
+        i = np.repeat(own, n)
+        first = np.repeat(starts[tile[own]] - np.cumsum(n) + n, n)
+        j = order[np.arange(len(i)) + first]
+        common = np.minimum(shared[i], shared[j])
+        fits = (root[i] != root[j]) & (100 * common >= size_percent * (size[i] + size[j] - common))
+        i, j = i[fits], j[fits]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        close = differ <= most_bits
+        i, j, differ = i[close], j[close], differ[close]
+        if nearest is not None and len(i):
+            rank = np.lexsort((differ, i))
+            new = np.append(True, i[rank][1:] != i[rank][:-1])
+            place = np.arange(len(rank)) - np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0))
+            chosen = rank[place < nearest]
+            i, j = i[chosen], j[chosen]
+        if keys is not None and len(i):     # the first bucket that two rows share makes their pair
+            place = (keys[i] == keys[j]).argmax(1)
+            mine = keys[i, place].view(np.int64) == key[i]
+            i, j = i[mine], j[mine]
+        if fine is not None and len(i):
+            close = np.bitwise_count(fine[i] ^ fine[j]).sum(1, dtype=np.int64) <= most_fine_bits
+            i, j = i[close], j[close]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])),
+                                              pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
