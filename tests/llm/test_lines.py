@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from thresher.llm.decontaminate import TokenHashes
-from thresher.llm.lines import DISTANCE, dedup_lines, edit_distance, line_hashes, line_tokens
+from thresher.llm.lines import (DISTANCE, dedup_lines, edit_distance, gram_keys, line_grams, line_hashes, line_tokens,
+                                most_edits)
 
 SCHEMA = "doc_id long, text string, node string, root int, key string"
 
@@ -92,5 +93,51 @@ def test_against_all_pairs(spark):
     assert sum(r.n_removed for r in got) >= sum(map(len, expected.values())) > 50
 
 
+def edited(rng, line, edits):
+    line = list(line)
+    for kind in rng.integers(0, 3, edits):
+        at = rng.integers(0, len(line))
+        if kind == 0:
+            line[at] = f"new{rng.integers(0, 10 ** 6)}"
+        elif kind == 1:
+            line.insert(at, f"new{rng.integers(0, 10 ** 6)}")
+        else:
+            del line[at]
+    return line
+
+
+def similar_pairs(seed, vocabulary):
+    """Pairs of lines with as many edits as similarity 0.9 allows, spread over the line."""
+    rng = np.random.default_rng(seed)
+    for size in [*range(9, 70), 100, 150, 400] * 3:
+        a = [f"v{i}" for i in rng.integers(0, vocabulary, size)]
+        b = edited(rng, a, rng.integers(1, max(2, size // 10 + 1)))
+        if distance(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9:
+            yield a, b
+
+
+@pytest.mark.parametrize("vocabulary", [3, 5000])
+def test_similar_lines_share_a_key(vocabulary):
+    cache = TokenHashes()
+    lines = [line_tokens(" ".join(x).encode(), cache)[0] for pair in similar_pairs(2, vocabulary) for x in pair]
+    sketches = line_hashes(lines)[1]
+    grams = np.unique(line_grams(lines, 4)[1])
+    for common in (grams[:0], grams[::2], grams):
+        at, keys = gram_keys(lines, 0.9, common)
+        held = [set(keys[at == i].tolist()) for i in range(len(lines))]
+        assert len(keys) == sum(map(len, held))
+        for i in range(0, len(lines), 2):
+            assert held[i] & held[i + 1]
+            most = most_edits(max(len(lines[i]), len(lines[i + 1])), 0.9)
+            assert int(sketches[i] ^ sketches[i + 1]).bit_count() <= 2 * most
+
+
+def test_every_similar_pair_is_found(spark):
+    pairs = list(similar_pairs(3, 5000))
+    docs = [(i, " ".join(x), "n", 1, "k") for i, x in enumerate(x for pair in pairs for x in pair)]
+    removed = {r.doc_id for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).where("n_removed = 1").collect()}
+    assert len(pairs) > 100 and removed == {i for i, *_ in docs if i % 2}
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -52,13 +52,13 @@ def differing_bits(a: str, b: str) -> Column:
 def linked_groups(members: DataFrame, traits: DataFrame, confirm: Callable[[DataFrame], DataFrame],
                   most_bits: int, size_percent: int, extra_links: DataFrame | None = None,
                   closer: Callable[[DataFrame], DataFrame] | None = None,
-                  most_fine_bits: int = 0) -> DataFrame:
+                  most_fine_bits: int = 0, most_bits_percent: float | None = None) -> DataFrame:
     """``node`` and ``root`` over all true links between nodes that share a bucket.
 
     ``members`` has ``key`` and ``node``, ``traits`` has ``node``, ``size`` and ``bits`` (longs).
-    A pair can only be linked if its bitmaps differ in at most ``most_bits`` places and what it
-    has in common, the smaller size at most, is ``size_percent`` of all it has; ``confirm`` keeps the true links
-    among such pairs ``a``, ``b``. Nodes without a link are left out. ``closer`` may look again at
+    A pair can only be linked if its bitmaps differ in at most ``most_bits`` places (and, if given,
+    in at most ``most_bits_percent`` of the larger size) and what it has in common, the smaller size
+    at most, is ``size_percent`` of all it has; ``confirm`` keeps the true links among such pairs ``a``, ``b``. Nodes without a link are left out. ``closer`` may look again at
     the few nodes ``node``, ``outside`` that are left at the end: ``shared``, how much of each outside
     node occurs in another of them, bounds what two nodes have in common, ``fine`` is a longer
     bitmap, of which at most ``most_fine_bits`` may differ, and ``keys`` are the node's buckets, one
@@ -78,8 +78,12 @@ def linked_groups(members: DataFrame, traits: DataFrame, confirm: Callable[[Data
                                    F.col("bits").alias("hub_bits")),
                           F.struct("weight", -F.col("node"))).alias("h")).select("key", "h.*"))
     fits = (F.lit(100) * F.least("size", "hub_size") >= F.lit(size_percent) * F.greatest("size", "hub_size"))
+    differ = differing_bits("bits", "hub_bits")
+    near = differ <= most_bits
+    if most_bits_percent is not None:
+        near &= F.lit(100) * differ <= F.lit(most_bits_percent) * F.greatest("size", "hub_size")
     stars = staged(members.join(hubs, "key").where(F.col("node") != F.col("hub"))
-                   .where(fits & (differing_bits("bits", "hub_bits") <= most_bits))
+                   .where(fits & near)
                    .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(),
                    "stars")
     links = staged(confirm(stars), "links")
@@ -101,7 +105,8 @@ def linked_groups(members: DataFrame, traits: DataFrame, confirm: Callable[[Data
             outside = (F.col("root") != F.col("main")).alias("outside")
             traits = closer(mixed.select("node", outside).groupBy("node").agg(F.max("outside").alias("outside")))
             mixed = mixed.join(traits, "node")
-        pairs = staged(_tiled_pairs(mixed, most_bits, most_fine_bits, size_percent, nearest).distinct()
+        pairs = staged(_tiled_pairs(mixed, most_bits, most_fine_bits, size_percent, nearest, most_bits_percent)
+                       .distinct()
                        .join(tested, ["a", "b"], "left_anti"), "pairs")
         more = staged(confirm(pairs), "links")
         if more.isEmpty():
@@ -112,7 +117,7 @@ def linked_groups(members: DataFrame, traits: DataFrame, confirm: Callable[[Data
 
 
 def _tiled_pairs(rows: DataFrame, most_bits: int, most_fine_bits: int, size_percent: int,
-                 nearest: int | None) -> DataFrame:
+                 nearest: int | None, most_bits_percent: float | None) -> DataFrame:
     """Pairs of close rows of one key, one of them outside the main root, of different roots;
     with ``nearest``, each outside row only with that many of its closest in a tile.
 
@@ -136,10 +141,11 @@ def _tiled_pairs(rows: DataFrame, most_bits: int, most_fine_bits: int, size_perc
                 continue
             rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
             starts = _tile_starts(rows)
-            yield from _close_pairs(rows.slice(0, starts[-1]), most_bits, most_fine_bits, size_percent, nearest)
+            yield from _close_pairs(rows.slice(0, starts[-1]), most_bits, most_fine_bits, size_percent, nearest,
+                                    most_bits_percent)
             rest = rows.slice(starts[-1])
         if rest is not None:
-            yield from _close_pairs(rest, most_bits, most_fine_bits, size_percent, nearest)
+            yield from _close_pairs(rest, most_bits, most_fine_bits, size_percent, nearest, most_bits_percent)
 
     return (asked.unionByName(asking).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
             .mapInArrow(compare, "a long, b long"))
@@ -158,7 +164,7 @@ def _bitmaps(rows: pa.Table, column: str) -> np.ndarray | None:
 
 
 def _close_pairs(rows: pa.Table, most_bits: int, most_fine_bits: int, size_percent: int,
-                 nearest: int | None) -> Iterator[pa.RecordBatch]:
+                 nearest: int | None, most_bits_percent: float | None) -> Iterator[pa.RecordBatch]:
     """Pairs of whole tiles: all asking rows of a tile with all its other rows, many tiles at once."""
     if not rows.num_rows:
         return
@@ -188,6 +194,8 @@ def _close_pairs(rows: pa.Table, most_bits: int, most_fine_bits: int, size_perce
         i, j = i[fits], j[fits]
         differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
         close = differ <= most_bits
+        if most_bits_percent is not None:
+            close &= 100 * differ <= most_bits_percent * np.maximum(size[i], size[j])
         i, j, differ = i[close], j[close], differ[close]
         if nearest is not None and len(i):
             rank = np.lexsort((differ, i))
