@@ -47,7 +47,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first of lines that repeat; documents left without a word go."""
-    kept = keep_first_lines(docs)
+    kept = keep_first_lines(docs, min_tokens=1)
     if "n_chars" not in docs.columns:
         return kept
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

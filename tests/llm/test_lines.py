@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 
+from corpus_pipeline import line_dedup
 from thresher.llm.decontaminate import TokenHashes
 from thresher.llm.lines import (DISTANCE, dedup_lines, edit_distance, gram_keys, line_grams, line_hashes, line_tokens,
                                 most_edits)
+from thresher.llm.queries import op10_line_dedup
 
 SCHEMA = "doc_id long, text string, node string, root int, key string"
 
@@ -139,5 +141,16 @@ def test_every_similar_pair_is_found(spark):
     assert len(pairs) > 100 and removed == {i for i, *_ in docs if i % 2}
 
 
+def test_short_lines_count_in_query_and_pipeline(spark, tmp_path):
+    docs = [(1, "Read more\n\nok", 0), (2, "read MORE!\n\nnew", 0), (3, "unspaced-line\nOK\n--", 0),
+            (4, "UnspacedLine", 0), (5, "--\nx y", 0)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert removed == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
+    kept = {r.doc_id: r.text for r in line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept == {1: "Read more\n\nok", 2: "\nnew", 3: "unspaced-line\n--", 5: "--\nx y"}
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0

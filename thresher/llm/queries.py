@@ -167,7 +167,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), min_tokens=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
