@@ -61,6 +61,22 @@ def test_against_all_pairs(spark, monkeypatch):
     assert len({r.component_id for r in got}) < len(got) - 60
 
 
+def test_repeated_and_null_ids_with_near_copies(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(12):             # two texts under one id, each with a near copy under another
+        shared, near_one, near_two = None if g > 9 else 10 * g + 7, 10 * g + 4, 10 * g + 9
+        for t, near in enumerate((near_one, near_two)):
+            base = [f"g{g}t{t}w{i}" for i in range(40 + 30 * rng.integers(0, 4))]
+            copy = list(base)
+            copy[rng.integers(0, len(copy))] = "edited"
+            rows += [(d, " ".join(x), None, None, 0) for d, x in ((shared, base), (near, copy))]
+    rows += [rows[0], rows[-2], (None, "", None, None, 0), (7, None, None, None, 0)]
+    found = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept)
+                    for r in near_duplicates(frame(spark, rows), shingle=4).collect())
+    assert found == brute(rows, 4)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     links = [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]

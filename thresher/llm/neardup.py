@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows; other columns are ignored. Texts of any length count whole.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MISSING_ID)).alias("doc"),
-                       F.col(text_col).cast("string").alias("text"))
+                       F.col(text_col).cast("string").alias("text")).withColumn("of_text", F.xxhash64("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, minhash = WordHashes(), MinHash(bands, band_rows, bits)
@@ -117,12 +117,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             full = iter(range(len(samples)))
             spot = [next(full) if n else None for n in sizes]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc"), pa.array(sizes),
+                batch.column("doc"), batch.column("of_text"), pa.array(sizes),
                 pa.array([int(mix(s).sum().view(np.int64)) for s in sets], pa.int64()),
                 pa.array([int(mix(s ^ np.uint64(BASE)).sum().view(np.int64)) for s in sets], pa.int64()),
                 pa.array([None if i is None else keys[i].view(np.int64) for i in spot], pa.list_(pa.int64())),
                 pa.array([None if i is None else sketches[i].view(np.int64) for i in spot], pa.list_(pa.int64()))],
-                names=["doc", "size", "f", "g", "keys", "sketch"])
+                names=["doc", "of_text", "size", "f", "g", "keys", "sketch"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -138,24 +138,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     signed = staged(rows.mapInArrow(
-        sign, "doc long, size long, f long, g long, keys array<long>, sketch array<long>"), "signed")
+        sign, "doc long, of_text long, size long, f long, g long, keys array<long>, sketch array<long>"), "signed")
+    rows_signed, ids = signed.agg(F.count("*"), F.count_distinct("doc")).first()
+    # a class goes by its least id; where ids repeat, two classes may have the same, so by its hashes
+    node = F.col("first.doc") if ids == rows_signed else F.xxhash64("f", "g", "size")
     classes = (signed.where("size > 0").groupBy("f", "g", "size")
-               .agg(F.min_by(F.struct("doc", "keys", "sketch"), "doc").alias("first"))
-               .select("f", "g", "size", F.col("first.doc").alias("node"), "first.keys", "first.sketch"))
+               .agg(F.min_by(F.struct("doc", "of_text", "keys", "sketch"), F.struct("doc", "of_text")).alias("first"))
+               .select("f", "g", "size", node.alias("node"), "first.doc", "first.of_text", "first.keys",
+                       "first.sketch"))
     classes = staged(classes, "classes")
     of_doc = signed.where("size > 0").select("doc", "f", "g", "size").join(
         classes.select("f", "g", "size", "node"), ["f", "g", "size"]).select("doc", "size", "node")
     same_id = None
-    rows_signed, ids = signed.agg(F.count("*"), F.count_distinct("doc")).first()
     if ids < rows_signed:       # several texts under one id link their classes
         first = of_doc.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
         same_id = of_doc.join(first, "doc").select("a", F.col("node").alias("b")).where("a != b").distinct()
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         # only texts that are needed are moved: the filter has a fixed size, the join is exact
-        bloom = blocked_bloom(nodes.select(F.xxhash64("node").alias("h")), "h", FILTER_BLOCKS).scalar()
-        return (rows.where(might_hold(bloom, F.xxhash64("doc"))).dropna()
-                .withColumnRenamed("doc", "node").join(nodes, "node"))
+        found = nodes.join(classes.select("node", "doc", "of_text"), "node")
+        bloom = blocked_bloom(found.select(F.xxhash64("doc").alias("h")), "h", FILTER_BLOCKS).scalar()
+        texts = rows.where(might_hold(bloom, F.xxhash64("doc"))).dropna().join(found, ["doc", "of_text"])
+        return texts if same_id is None else texts.dropDuplicates(["node"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = staged(pairs.select(F.col("a").alias("node")).unionByName(
@@ -195,13 +199,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .otherwise(F.col("size")).alias("shared")))
 
     members = classes.select(F.explode("keys").alias("key"), "node")
-    traits = classes.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("bits")) \
-        if same_id is not None else classes.select("node", "size", F.col("sketch").alias("bits"))
+    traits = classes.select("node", "size", F.col("sketch").alias("bits"))
     groups = linked_groups(members, traits, confirmed, most_differing(bits, bands * band_rows, SIFT),
                            threshold, same_id, closer if same_id is None else None,
                            most_differing(FINE_BITS, FINE_SAMPLES, FINE_SIFT))
     found = of_doc.join(groups, "node", "left").select(
         "doc", "size", F.coalesce("root", "node").alias("root"))
+    if same_id is not None:
+        least = (classes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+                 .agg(F.min("doc").alias("least")))
+        found = found.join(least, "root").select("doc", "size", F.col("least").alias("root"))
     alone = signed.where("size = 0").select("doc", "size", F.col("doc").alias("root"))
     return found.unionByName(alone).select(
         F.when(F.col("doc") != MISSING_ID, F.col("doc")).alias("doc_id"), F.col("size").alias("n_shingles"),
