@@ -116,7 +116,7 @@ class HingeLinear(Model):
     """
     mergeable = True
 
-    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 200,
+    def __init__(self, alpha: float | None = None, C: float = 1.0, max_iter: int = 2000,
                  tol: float = 1e-6):
         self.alpha, self.C, self.max_iter, self.tol = alpha, C, max_iter, tol
 
@@ -135,7 +135,7 @@ class SupportVector(Model):
     """
 
     def __init__(self, kernel: str = "linear", C: float = 1.0, balanced: bool = False,
-                 n_components: int = 256, max_iter: int = 100, tol: float = 1e-5,
+                 n_components: int = 256, max_iter: int = 2000, tol: float = 1e-5,
                  input: str = "bow", calibration_folds: int = 5):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel: {kernel}")
