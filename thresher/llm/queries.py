@@ -12,9 +12,12 @@ from thresher.llm.neardup import near_duplicates
 from thresher.llm.packing import pack_documents
 from thresher.llm.quality import fit_quality, score_quality
 from thresher.llm.substrings import dedup_substrings
+from thresher.llm.tokencounts import count_tokens
 from thresher.llm.topk import top_k
 from thresher.llm.toxicity import fit_toxicity, score_toxicity
+from thresher.llm.tries import numbered_turns, prefix_trie, share_heads
 from thresher.llm.urls import judge_urls
+from thresher.llm.whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -193,3 +196,62 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
     scored = score_quality(docs.select("doc_id", out.alias("held_out"), "text"), model)
     return scored.withColumn("predicted", (F.col("score") >= GOOD_AT).cast("int"))
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS k, turn,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM turns),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+             lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+                                      lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+built AS (
+  SELECT ids.conv_id, 0 AS part, pos, k, words FROM ids JOIN own ON own.conv_id = base AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, k, words FROM own JOIN ids USING (conv_id) WHERE pos > h),
+placed AS (
+  SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM built),
+paths AS (
+  SELECT conv_id, depth, words, md5(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM paths GROUP BY node),
+ups AS (
+  SELECT n.node, p.node AS up, u.conv_id AS parent_conv_id
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes u ON u.node = p.node),
+kids AS (SELECT up AS node, count(*) AS n FROM ups GROUP BY up),
+below AS (
+  SELECT p.node, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN kids k ON k.node = n.node
+  GROUP BY p.node),
+ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM paths JOIN (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id) USING (conv_id, depth) GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(k.n, 0) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN below USING (node) LEFT JOIN ups USING (node) LEFT JOIN kids k USING (node) LEFT JOIN ends USING (node)
+"""
+
+
+@query(OP12_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = numbered_turns(table(spark, sf_dir, "conversations"))
+    ids = turns.select("conv_id").distinct()
+    return prefix_trie(share_heads(turns, ids, every=20, most=4), ids)
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("byte_bpe_50k.json"), limit=1024)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from thresher.sources.tables import scratch_path
 
+STAGED = "_staged_path"
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under the session's shared folder and read again.
@@ -15,4 +17,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, STAGED, path)
+    return out
+
+
+def unstaged(df: DataFrame | None) -> None:
+    """Deletes the files of a table from ``staged`` that nothing will read again."""
+    path = getattr(df, STAGED, None)
+    if path is None:
+        return
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
