@@ -21,7 +21,7 @@ from thresher.llm.words import slices
 TABLE_PIECES = 16_384       # frequent pieces in the broadcast table, of at most LONGEST characters
 LONGEST = 48
 SAMPLE_DOCUMENTS = 20_000   # the table is drawn from about so many whole texts; no result depends on it
-TRACKED = 131_072           # pieces a frequency sketch can tell apart
+TRACKED = 32_768            # pieces a frequency sketch can tell apart
 CACHED_PIECES = 200_000     # bounds a task's memory; a full cache falls back to the table
 CUT_CHARACTERS = 1 << 20    # longer texts are taken in stretches that end between two pieces
 
