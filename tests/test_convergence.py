@@ -1,14 +1,23 @@
-"""Hinge fits end by their tolerance, not by the bound on iterations."""
+"""Fits end by their tolerance, at the optimum, however rows are dealt out."""
 
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
-from thresher.models.linear import HingeLinear, SupportVector, _svc
+from thresher.evaluation import evaluate as E
+from thresher.models import registry
+from thresher.models.base import describe
+from thresher.models.kernels import KernelMap
+from thresher.models.linear import HingeLinear, SquaredHinge, SupportVector, _engine_rows, _svc
+from thresher.models.base import weighted
+from thresher.models.linear_grid import LinearSpec, cross_validated_linear
+from thresher.models.newton import LOSSES, Problem, minimise
+from thresher.operators.folds import stratified_folds
 
 
-@pytest.mark.parametrize("model", [HingeLinear(), SupportVector()])
-def test_hinge_fits_converge(spark, model):
+def test_hinge_fits_converge(spark):
+    model = HingeLinear()
     rng = np.random.default_rng(0)
     x = (rng.random((200, 40)) < 0.1) * rng.integers(1, 4, (200, 40))
     y = x @ rng.normal(size=40) + 1.5 * rng.normal(size=200) > 0
@@ -16,3 +25,153 @@ def test_hinge_fits_converge(spark, model):
                                  ["features", "label", "weight"]).repartition(1).cache()
     fitted = _svc(1.0 / 200, model.max_iter, model.tol).fit(rows)
     assert fitted.summary().totalIterations < model.max_iter
+
+
+def points(n=90, d=4, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    return x, (x @ np.arange(1, d + 1) + 2 * rng.normal(size=n) > 0).astype(int)
+
+
+def frame(spark, x, y):
+    return spark.createDataFrame([(i, int(b), Vectors.dense(a)) for i, (a, b) in enumerate(zip(x, y))],
+                                 ["id", "label", "features"])
+
+
+def gradient(loss, w, b, x, t, penalty, own):
+    """Of the whole objective at (w, b), written out row by row."""
+    gw, gb = penalty * w, own * b
+    for a, y in zip(x, t):
+        f = a @ w + b
+        s = {"logistic": -y / (1 + np.exp(y * f)), "squared_hinge": -2 * y * max(0, 1 - y * f), "squares": f - y}[loss]
+        gw, gb = gw + s * a, gb + s
+    return np.append(gw, gb)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_gradients_vanish(spark, parts):
+    x, y = points()
+    df = frame(spark, x, y)
+    rows = _engine_rows(weighted(df, describe(df, 4)), describe(df, 4), "features",
+                        F.col("id") % 3).repartition(parts).persist()
+    problems = [Problem(loss, 0.5, own, fold) for loss, own in (("logistic", 0.0), ("squared_hinge", 0.5), ("squares", 0.0))
+                for fold in (-1, 2)]
+    found = minimise(rows, problems, [4])
+    for q, p in enumerate(problems):
+        keep = np.arange(90) % 3 != p.fold
+        g = gradient(p.loss, found.weights[q], found.intercepts[q, 0], x[keep], 2.0 * y[keep] - 1, 0.5, p.intercept_penalty)
+        at_zero = gradient(p.loss, np.zeros(4), 0.0, x[keep], 2.0 * y[keep] - 1, 0.5, p.intercept_penalty)
+        assert np.linalg.norm(g) < 1e-7 * np.linalg.norm(at_zero)
+    assert (found.gradient <= 1e-8).all()
+
+
+def test_wide_problems_by_products_only(spark, monkeypatch):
+    """Products with directions lead to the same optimum as whole Hessians."""
+    x, y = points()
+    df = frame(spark, x, y)
+    rows = _engine_rows(weighted(df, describe(df, 4)), describe(df, 4), "features").persist()
+    problems = [Problem(loss, 0.5, 0.1) for loss in LOSSES if loss != "hinge"]
+    whole = minimise(rows, problems, [4])
+    monkeypatch.setattr("thresher.models.newton.WHOLE", 0)
+    by_steps = minimise(rows, problems, [4])
+    assert np.abs(whole.weights - by_steps.weights).max() < 1e-6 and by_steps.passes > whole.passes
+
+
+@pytest.mark.parametrize("kernel", ["linear", "rbf"])
+def test_support_vectors_have_a_small_gap(spark, kernel):
+    x, y = points()
+    df = frame(spark, x, y)
+    fitted = SupportVector(kernel, C=2.0).fit(df, describe(df, 4))
+    assert (fitted.found.gap < 1e-3 * fitted.found.objective).all()
+    rows = fitted.predict(df, ["label"]).collect()
+    assert sum(r["pred"] == r["label"] for r in rows) > 70
+    assert all(abs(sum(r["proba"]) - 1) < 1e-9 for r in rows)
+    # the primal value by hand: no point near it is better
+    if kernel == "linear":
+        t, w, b = 2.0 * y - 1, fitted.weights[0], fitted.intercepts[0]
+        value = lambda w, b: np.maximum(0, 1 - t * (x @ w + b)).sum() + w @ w / 4
+        best = value(w, b)
+        rng = np.random.default_rng(0)
+        assert all(value(w + 0.05 * rng.normal(size=4), b + 0.05 * rng.normal()) > best * (1 - 1e-3) for _ in range(300))
+
+
+def test_kernel_rank_follows_the_error(spark):
+    x, y = points(n=100, d=3)
+    df = frame(spark, x, y)
+    rows = _engine_rows(weighted(df, describe(df, 3)), describe(df, 3), "features").persist()
+    coarse, fine = (KernelMap.fit(rows, 3, 0.2, error=e, block=8) for e in (0.05, 1e-4))
+    assert coarse.residual <= 0.05 and fine.residual <= 1e-4 and coarse.rank < fine.rank <= 100
+    z = np.array([r["values"] for r in fine.transform(rows).collect()])
+    kernel = np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(2))
+    # rows come back in another order: compare the sorted spectra of both Gram matrices' diagonals and sums
+    assert abs((z ** 2).sum() - 100) < 0.02
+    assert abs(np.sort((z @ z.sum(0))) - np.sort(kernel.sum(0))).max() < 0.1
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(160):
+        label = i % 3 % 2
+        words = rng.choice([f"t{j}" for j in range(25)], 8).tolist()
+        words[rng.integers(0, 8)] = "mark" if label and i % 7 else "other"
+        rows.append((i, " ".join(words), label))
+    return spark.createDataFrame(rows, "id long, text string, label int").persist()
+
+
+def test_grid_equals_separate_fits(spark, texts):
+    """All folds and cells in one fit against one fit per fold by another solver."""
+    folded = stratified_folds(texts, "id", "label").persist()
+    both = folded.withColumn("cut", F.lit("a")).unionByName(
+        folded.withColumn("cut", F.lit("b")).withColumn("text", F.substring("text", 1, 12)))
+    models = {"LogisticRegression": LinearSpec("logistic", 1.0, probabilities=True),
+              "balanced": LinearSpec("logistic", 1.0, balanced=True, probabilities=True),
+              "RidgeClassifier": LinearSpec("squares")}
+    together = cross_validated_linear(both, models, 5, ["cut"])
+    found = {(r["cut"], r["model"], r["id"]): r for r in together.collect()}
+    assert len(found) == 2 * 3 * 160
+    for cut in ("a", "b"):
+        rows = both.where(F.col("cut") == cut)
+        for f in (0, 3):
+            train = rows.where(F.col("fold") != f)
+            bag = E.BagOfWords().fit(train)
+            test = bag.transform(rows.where(F.col("fold") == f))
+            for name, model, near in (("LogisticRegression", registry.Logistic(), 2e-3),
+                                      ("balanced", registry.Logistic(balanced=True), 2e-3),
+                                      ("RidgeClassifier", registry.Ridge(), 1e-6)):
+                own = E.fit_model(model, train, bag, describe(train, len(bag.terms))).predict(test)
+                for r in own.collect():
+                    assert abs(r["score"] - found[cut, name, r["id"]]["score"]) < near
+                    assert r["pred"] == found[cut, name, r["id"]]["pred"] or abs(r["score"] - 0.5) < near
+
+
+def test_jobs_do_not_grow_with_cells(spark, texts):
+    model = {"LogisticRegression": registry.Logistic()}
+
+    def jobs(sizes, group):
+        spark.sparkContext.setJobGroup(group, group)
+        E.evaluate_extractions(texts, model, sizes, baseline=False, k=3).count()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    few, many = jobs({"word": (1, 2)}, "few"), jobs({"word": (1, 2, 3, 4, 5, 6)}, "many")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert many < 1.5 * few
+
+
+def test_three_classes_and_a_missing_one(spark, texts):
+    three = texts.withColumn("label", (F.col("id") % 3).cast("int")).withColumn(
+        "text", F.concat(F.lit("class"), F.col("label").cast("string")))
+    folded = stratified_folds(three, "id", "label")
+    # class 2 only stands in fold 0, whose training rows lack it
+    folded = folded.withColumn("fold", F.when(F.col("label") == 2, 0).otherwise(F.col("fold")))
+    rows = cross_validated_linear(folded, {"m": LinearSpec("squared_hinge", 1.0, 1.0),
+                                           "p": LinearSpec("logistic", probabilities=True)}).collect()
+    assert len(rows) == 320 and all(r["score"] is None for r in rows)
+    assert all((r["pred"] == r["label"]) == (r["label"] != 2) for r in rows)
+
+
+def test_squared_hinge_model(spark):
+    x, y = points()
+    df = frame(spark, x, y + (x[:, 0] > 1))
+    fitted = SquaredHinge(C=0.7).fit(df, describe(df, 4))
+    assert fitted.predict(df, ["label"]).where("pred = label").count() > 60

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 from thresher.models.base import (DegenerateTraining, Model, WEIGHT, class_list, describe,
                                   in_parallel, settled)
 from thresher.models.bayes import NaiveBayes, cross_validated_bayes
+from thresher.models.linear_grid import cross_validated_linear
 from thresher.operators.folds import stratified_folds
 from thresher.operators.metrics import fold_metrics
 from thresher.operators.ranking import (best_overall, best_per_category,
                                         best_per_level, cross_validated, evaluation_count,
                                         improvements, model_category)
 from thresher.operators.text import extraction_aliases, extraction_grid, grid_cells
-from thresher.operators.vectors import BagOfWords
+from thresher.operators.vectors import BagOfWords, MAX_FEATURES
 from thresher.session import cut_lineage
 
 KEYS = ("model", "level", "size")
@@ -47,7 +49,8 @@ def cross_validated_predictions(data: DataFrame, models: dict[str, Model], k: in
 
     ``data`` has (id, text, label). The vocabulary is fitted on the training
     rows of each fold, or on all rows with ``vocab_scope='all'``. Naive Bayes
-    models need no fit per fold: they are one plan over all folds.
+    models need no fit per fold: they are one plan over all folds. Linear models with a
+    ``spec`` are one fit over all folds.
     """
     if vocab_scope not in ("fold", "all"):
         raise ValueError(f"unknown vocab_scope: {vocab_scope}")
@@ -63,6 +66,11 @@ def cross_validated_predictions(data: DataFrame, models: dict[str, Model], k: in
             parts.append(p.withColumn("model", F.lit(name)).select(*PREDICTION_COLUMNS))
         else:
             fitted[name] = m
+    linear = {n: fitted.pop(n) for n in list(fitted) if hasattr(fitted[n], "spec")}
+    if linear:
+        p = cross_validated_linear(folded, {n: m.spec() for n, m in linear.items()}, k,
+                                   max_features=max_features, classes=classes, scope=vocab_scope)
+        parts.append(p.select(*PREDICTION_COLUMNS))
     shared = BagOfWords(max_features).fit(folded) if vocab_scope == "all" and fitted else None
 
     def fold_job(f: int):
@@ -133,7 +141,8 @@ def evaluate_extractions(texts: DataFrame, models: dict[str, Model], sizes=None,
     """Results (model, level, size, size_ord, fold, metric, value, status) for all cells.
 
     ``texts`` has (id, text, label). Each distinct extraction is evaluated once
-    and its scores are given to all cells that equal it.
+    and its scores are given to all cells that equal it. Naive Bayes and linear models are
+    fitted for all cells and folds together; the number of jobs does not grow with the cells.
     """
     texts = texts.select("id", "text", "label").persist()
     aliases = extraction_aliases(texts, sizes, baseline)
@@ -141,10 +150,29 @@ def evaluate_extractions(texts: DataFrame, models: dict[str, Model], sizes=None,
     for level, size, _, src in aliases:
         source.setdefault(src, (level, size))
     grid = extraction_grid(texts, sizes=sizes, baseline=baseline)
+    cells = functools.reduce(lambda c, x: F.when(
+        (F.col("level") == x[1][0]) & (F.col("size") == x[1][1]), F.lit(x[0])).otherwise(c),
+        source.items(), F.lit(None))
+    grid = grid.withColumn("_source", cells).where("_source is not null")
+    together, others = {}, dict(models)
+    if options.get("vocab_scope", "fold") == "fold":
+        together = {n: others.pop(n) for n in list(others)
+                    if isinstance(others[n], NaiveBayes) or hasattr(others[n], "spec")}
     parts = []
-    for src, (level, size) in source.items():
-        cell = grid.where((F.col("level") == level) & (F.col("size") == size))
-        r = evaluate_models(cell.select("id", "text", "label"), models, k, seed, **options)
+    if together:
+        try:
+            p = _predictions_of_cells(grid, together, len(source), k, seed, options.get("max_features", MAX_FEATURES))
+            p = cut_lineage(p.drop("proba"))
+            parts.append(fold_metrics(p, ["model", "_source"]))
+        except DegenerateTraining:
+            if len(models) == 1:
+                raise
+            parts.append(texts.sparkSession.createDataFrame(
+                [(n, src, None, "all", None, "failed: DegenerateTraining") for n in together for src in source],
+                "model string, _source string, fold int, metric string, value double, status string"))
+    for src in source if others else ():
+        cell = grid.where(F.col("_source") == src)
+        r = evaluate_models(cell.select("id", "text", "label"), others, k, seed, **options)
         parts.append(r.withColumn("_source", F.lit(src)))
     done = parts[0]
     for p in parts[1:]:
@@ -155,6 +183,27 @@ def evaluate_extractions(texts: DataFrame, models: dict[str, Model], sizes=None,
             .select("model", "level", "size", "size_ord", "fold", "metric", "value", "status"))
 
 
+def _predictions_of_cells(grid: DataFrame, models: dict[str, Model], n_cells: int, k: int, seed: int,
+                          max_features: int) -> DataFrame:
+    """(_source, id, fold, model, label, pred, proba, score) of models that take all cells at once."""
+    folds = stratified_folds(grid.select("id", "label").distinct(), "id", "label", k, seed)
+    folded = grid.select("_source", "id", "label", "text").join(folds, ["id", "label"]).persist()
+    classes = class_list(folded)
+    if len(classes) < 2:
+        raise DegenerateTraining("fewer than two classes")
+    columns = ["_source", *PREDICTION_COLUMNS]
+    parts = [cross_validated_bayes(folded, m.kind, m.alpha, k, ["_source"], n_cells, m.max_features, classes=classes)
+             .withColumn("model", F.lit(n)).select(*columns)
+             for n, m in models.items() if isinstance(m, NaiveBayes)]
+    linear = {n: m.spec() for n, m in models.items() if not isinstance(m, NaiveBayes)}
+    if linear:
+        parts.append(cross_validated_linear(folded, linear, k, ["_source"], max_features, classes).select(*columns))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def bayes_over_extractions(texts: DataFrame, name: str, model: NaiveBayes, sizes=None,
                            baseline: bool = True, k: int = 5, seed: int = 42) -> DataFrame:
     """Predictions of one naive Bayes model for every cell and fold in a single plan."""

@@ -1,4 +1,4 @@
-"""Linear models, support vector machines and the multi-layer perceptron on Spark ML."""
+"""Linear models, support vector machines and the multi-layer perceptron."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import (LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from thresher.models.base import (Context, Fitted, Model, WEIGHT, binary_context, in_parallel,
                                   normalised, one_hot, argmax_class, settled, weighted)
+from thresher.models.kernels import KernelMap
+from thresher.models.linear_grid import LinearSpec, decision
+from thresher.models.newton import (Problem, Solution, dealt, linear_scores, margins_of, minimise,
+                                    parts_of)
 from thresher.operators.folds import stratified_folds
 
 # (train with 0/1 label and weight, context) -> (rows -> (rows with the new column, column))
@@ -86,6 +89,9 @@ class Logistic(Model):
         return FittedScores(each_class(weighted(train, ctx, self.balanced), ctx, one),
                             ctx.classes, True)
 
+    def spec(self) -> LinearSpec:
+        return LinearSpec("logistic", 1.0 / self.C, balanced=self.balanced, probabilities=True)
+
 
 class Ridge(Model):
     """Least squares on -1/+1 targets."""
@@ -102,6 +108,9 @@ class Ridge(Model):
             return lambda df, out: model.transform(df).withColumnRenamed("prediction", out)
         return FittedScores(each_class(weighted(train, ctx), ctx, one), ctx.classes, False)
 
+    def spec(self) -> LinearSpec:
+        return LinearSpec("squares", 1.0)
+
 
 def _svc(reg: float, max_iter: int, tol: float) -> LinearSVC:
     return LinearSVC(regParam=reg, maxIter=max_iter, tol=tol, standardization=False,
@@ -127,79 +136,147 @@ class HingeLinear(Model):
         return FittedScores(each_class(weighted(train, ctx), ctx, one), ctx.classes, False)
 
 
+class SquaredHinge(Model):
+    """Linear classifier under squared hinge loss; the intercept is penalised like a weight.
+
+    All classes are fitted against the rest together, by Newton steps until the gradient is
+    ``tol`` of that at zero.
+    """
+    mergeable = True
+
+    def __init__(self, C: float = 1.0, tol: float = 1e-8, input: str = "bow"):
+        self.C, self.tol, self.input = C, tol, input
+
+    def spec(self) -> LinearSpec:
+        return LinearSpec("squared_hinge", 1.0 / self.C, 1.0 / self.C)
+
+    def fit(self, train, ctx):
+        rows = _engine_rows(weighted(train, ctx), ctx, "features").persist()
+        problems = [Problem("squared_hinge", 1.0 / self.C, 1.0 / self.C, positive=c) for c in _against(ctx)]
+        found = minimise(rows, problems, [max(1, ctx.n_features)], tol=self.tol)
+        rows.unpersist()
+        return FittedMargins(found, ctx.classes)
+
+
+def _against(ctx: Context) -> list[int]:
+    """The places of the classes that get a problem of their own."""
+    return [1] if ctx.k == 2 else list(range(ctx.k))
+
+
+def _class_place(ctx: Context, label: str = "label") -> Column:
+    return F.array_position(F.array(*[F.lit(int(c)) for c in ctx.classes]), F.col(label).cast("int")).cast("int") - 1
+
+
+def _engine_rows(rows: DataFrame, ctx: Context, features: str, fold: Column | None = None) -> DataFrame:
+    """Training rows of one cell as ``minimise`` takes them."""
+    index, values = parts_of(features)
+    return dealt(rows.select(
+        F.lit(0).alias("cell"), (F.lit(0) if fold is None else fold).cast("int").alias("fold"),
+        _class_place(ctx).alias("label"), F.col(WEIGHT).cast("double").alias("weight"),
+        index.alias("index"), values.alias("values")), int(ctx.n))
+
+
+class FittedMargins(Fitted):
+    """Scores against the rest from the coefficients of ``minimise``; no probabilities."""
+
+    def __init__(self, found: Solution, classes: Sequence[int]):
+        self.found, self.classes = found, classes
+
+    def columns(self, df: DataFrame):
+        scored = df.withColumn("_scores", linear_scores(self.found.weights, self.found.intercepts[:, 0]))
+        proba, score, decide = decision(F.col("_scores"), self.classes, False)
+        return scored, proba, score, decide
+
+
+NARROW = 64                 # columns that are as good as coordinates
+
+
 class SupportVector(Model):
-    """Support vector machine with probabilities (a logistic curve on out-of-fold margins).
+    """Support vector machine with probabilities: a logistic curve on out-of-fold margins.
 
-    The 'rbf' kernel is approximated by random Fourier features
-    (Rahimi and Recht, 2007); 'linear' is direct.
+    All classes and calibration folds are problems of one fit, which ends when the gap between
+    the primal and the dual objective is ``gap`` of the primal. It runs in the coordinates of a
+    Nystroem approximation, whose rank grows until what it leaves of the rows' kernel values is
+    at most ``error`` of them; the gap is that of the approximated kernel. The linear kernel of
+    at most NARROW columns needs none.
     """
 
     def __init__(self, kernel: str = "linear", C: float = 1.0, balanced: bool = False,
-                 n_components: int = 256, max_iter: int = 2000, tol: float = 1e-5,
-                 input: str = "bow", calibration_folds: int = 5):
+                 error: float = 1e-3, gap: float = 1e-3, input: str = "bow",
+                 calibration_folds: int = 5):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unknown kernel: {kernel}")
         self.kernel, self.C, self.balanced, self.input = kernel, C, balanced, input
-        self.n_components, self.max_iter, self.tol = n_components, max_iter, tol
-        self.calibration_folds = calibration_folds
+        self.error, self.gap, self.calibration_folds = error, gap, calibration_folds
 
     def fit(self, train, ctx):
-        prepare = None
-        if self.kernel == "rbf":
-            prepare = fourier_features(_scale_gamma(train, ctx), ctx.n_features,
-                                       self.n_components, ctx.seed)
-            train = prepare(train)
         rows = weighted(train, ctx, self.balanced)
-        folded = settled(stratified_folds(rows, "id", "label", self.calibration_folds,
-                                          ctx.seed), ctx.n).persist()
-        folded.count()      # stored before several fits read it at once
-
-        def one(df, c):
-            est = _svc(1.0 / (self.C * c.n), self.max_iter, self.tol)
-
-            def held_out(f):
-                def run():
-                    part = df.where(F.col("fold") != f)
-                    labels, n = part.agg(F.count_distinct("label"), F.sum(WEIGHT)).first()
-                    if labels < 2:
-                        return None
-                    own = _svc(1.0 / (self.C * n), self.max_iter, self.tol)
-                    return _margin(own.fit(part))(df.where(F.col("fold") == f), "_margin")
-                return run
-            parts = [p for p in in_parallel([held_out(f) for f in range(self.calibration_folds)],
-                                            ctx.parallelism) if p is not None]
-            margins = parts[0].select("label", WEIGHT, "_margin")
-            for p in parts[1:]:
-                margins = margins.unionByName(p.select("label", WEIGHT, "_margin"))
-            lift = VectorAssembler(inputCols=["_margin"], outputCol="_lifted")
-            curve = LogisticRegression(featuresCol="_lifted", weightCol=WEIGHT).fit(
-                lift.transform(margins))
-            margin = _margin(est.fit(df))
-
-            def score(d, out):
-                d = curve.transform(lift.transform(margin(d, "_margin")))
-                return d.withColumn(out, vector_to_array("probability")[1]).drop(
-                    "_margin", "_lifted", "rawPrediction", "probability", "prediction")
-            return score
-
-        try:
-            scorers = each_class(folded, ctx, one)
-        finally:
-            folded.unpersist()
-        return FittedKernel(FittedScores(scorers, ctx.classes, True), prepare)
-
-
-class FittedKernel(Fitted):
-    def __init__(self, inner: Fitted, prepare):
-        self.inner, self.prepare, self.classes = inner, prepare, inner.classes
+        folded = settled(stratified_folds(rows, "id", "label", self.calibration_folds, ctx.seed), ctx.n)
+        place, k = _against(ctx), self.calibration_folds
+        problems = [Problem("hinge", 1.0 / self.C, fold=f, positive=c) for c in place for f in (*range(k), -1)]
+        engine = _engine_rows(folded, ctx, "features", F.col("fold")).persist()
+        kernel = None
+        if self.kernel == "rbf" or ctx.n_features > NARROW:
+            gamma = _scale_gamma(train, ctx) if self.kernel == "rbf" else None
+            kernel = KernelMap.fit(engine, ctx.n_features, gamma, self.error, ctx.seed)
+            coded = kernel.transform(engine).persist()
+            found = minimise(coded, problems, [kernel.rank], dense=True, gap=self.gap)
+        else:
+            coded = engine
+            found = minimise(coded, problems, [max(1, ctx.n_features)], gap=self.gap)
+        curves = self._calibrated(coded, found, place, dense=kernel is not None)
+        coded.unpersist()
+        engine.unpersist()
+        whole = slice(k, None, k + 1)       # the problems of all rows
+        return FittedSupport(found, found.weights[whole], found.intercepts[whole, 0], curves, kernel, ctx.classes)
+
+    def _calibrated(self, coded: DataFrame, found: Solution, place: Sequence[int], dense: bool) -> Solution:
+        """Per class, the logistic curve of out-of-fold margins, on Platt's smoothed targets."""
+        k, columns = self.calibration_folds, found.weights.shape[1]
+        index = F.sequence(F.lit(0), F.lit(columns - 1)) if dense else F.col("index")
+        own = margins_of(found.weights, found.intercepts[:, 0], index, F.col("values"))
+        usable = F.array(*[F.lit(not found.dead[c * (k + 1) + f, 0]) for c in range(len(place)) for f in range(k)])
+        per_class = F.transform(F.array(*[F.lit(c) for c in range(len(place))]), lambda c: F.struct(
+            c.alias("cell"), F.get("_own", c * (k + 1) + F.col("fold")).alias("margin"),
+            F.get(usable, c * k + F.col("fold")).alias("usable"),
+            (F.get(F.array(*[F.lit(p) for p in place]), c) == F.col("label")).alias("hit")))
+        rows = (coded.withColumn("_own", own).select("weight", F.inline(per_class)).where("usable")
+                .drop("usable").persist())
+        counts = {(r["cell"], r["hit"]): (r["n"], r["rows"]) for r in rows.groupBy("cell", "hit").agg(
+            F.sum("weight").alias("n"), F.count("*").alias("rows")).collect()}
+        total = [[counts.get((c, h), (0.0, 0))[0] for h in (False, True)] for c in range(len(place))]
+        target = F.lit(0.5)
+        for c, (no, yes) in enumerate(total):
+            target = F.when(F.col("cell") == c, F.when(F.col("hit"), (yes + 1) / (yes + 2))
+                            .otherwise(1 / (no + 2))).otherwise(target)
+        both = F.array(F.struct(F.lit(1).alias("label"), (F.col("weight") * target).alias("weight")),
+                       F.struct(F.lit(0).alias("label"), (F.col("weight") * (1 - target)).alias("weight")))
+        soft = rows.select(F.col("cell"), F.lit(0).alias("fold"), F.array("cell").alias("index"),
+                           F.array("margin").alias("values"), F.inline(both))
+        soft = dealt(soft, 2 * sum(n for _, n in counts.values())).persist()
+        curves = minimise(soft, [Problem("logistic", 1e-9, 1e-9)], [1] * len(place))
+        soft.unpersist()
+        rows.unpersist()
+        return curves
+
+
+class FittedSupport(Fitted):
+    def __init__(self, found: Solution, weights, intercepts, curves: Solution, kernel, classes):
+        self.found, self.weights, self.intercepts = found, weights, intercepts
+        self.curves, self.kernel, self.classes = curves, kernel, classes
 
     def columns(self, df):
-        return self.inner.columns(self.prepare(df) if self.prepare else df)
-
-    def with_probabilities(self, df, out):
-        rows, proba, _, _ = self.columns(df.withColumn("_plain", F.col("features")))
-        return rows.withColumn(out, proba).drop("features").withColumnRenamed(
-            "_plain", "features").select(*df.columns, out)
+        index, values = parts_of("features")
+        if self.kernel is None or self.kernel.gamma is None:
+            weights = self.weights if self.kernel is None else self.kernel.linear_weights(self.weights)
+            margins = margins_of(weights, self.intercepts, index, values)
+        else:
+            margins = self.kernel.margins(self.weights, self.intercepts, index, values)
+        scored = df.withColumn("_margins", margins)
+        curved = F.array(*[F.get("_margins", F.lit(i)) * F.lit(float(a)) + F.lit(float(b)) for i, (a, b) in enumerate(
+            zip(self.curves.weights[0], self.curves.intercepts[0]))])
+        proba, score, decide = decision(curved, self.classes, True)
+        return scored, proba, score, decide
 
 
 def _scale_gamma(train: DataFrame, ctx: Context) -> float:
@@ -213,34 +290,6 @@ def _scale_gamma(train: DataFrame, ctx: Context) -> float:
     return 1.0 / (d * variance) if variance > 0 else 1.0
 
 
-def fourier_features(gamma: float, n_features: int, n_components: int, seed: int):
-    """rows -> rows with ``features`` replaced by cosine features of the RBF kernel.
-
-    Every task draws the same projection from the seed; nothing is shipped.
-    """
-    from collections.abc import Iterator as It
-    import pandas as pd
-
-    def project(batches):
-        import numpy as np
-        import pandas as pd
-        rng = np.random.default_rng(seed)
-        w = rng.normal(scale=np.sqrt(2 * gamma), size=(n_features, n_components))
-        b = rng.uniform(0, 2 * np.pi, size=n_components)
-        for s in batches:
-            if len(s):
-                z = np.cos(np.stack(s.to_numpy()) @ w + b) * np.sqrt(2.0 / n_components)
-                yield pd.Series(list(z))
-            else:
-                yield pd.Series([], dtype="object")
-    project.__annotations__ = {"batches": It[pd.Series], "return": It[pd.Series]}
-    udf = F.pandas_udf(project, "array<double>")
-
-    def prepare(df: DataFrame) -> DataFrame:
-        return df.withColumn("features", array_to_vector(udf(vector_to_array("features"))))
-    return prepare
-
-
 class Perceptron(Model):
     def __init__(self, hidden: Sequence[int] = (100,), max_iter: int = 500,
                  solver: str = "l-bfgs"):

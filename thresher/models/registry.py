@@ -11,7 +11,8 @@ from thresher.models.bayes import NaiveBayes
 from thresher.models.discriminant import Discriminant
 from thresher.models.embedding import EmbeddingClassifier, MultilevelClassifier
 from thresher.models.ensemble import Stacking, Voting
-from thresher.models.linear import HingeLinear, Logistic, Perceptron, Ridge, SupportVector
+from thresher.models.linear import (HingeLinear, Logistic, Perceptron, Ridge, SquaredHinge,
+                                    SupportVector)
 from thresher.models.neighbours import NearestNeighbours
 from thresher.models.trees import AdaBoost, Bagging, Boosting, ExtraTrees, Forest, Tree
 
@@ -25,7 +26,7 @@ def classical_models() -> dict[str, Model]:
         "RidgeClassifier": Ridge(),
         "SGDClassifier": HingeLinear(alpha=1e-4, tol=1e-3),
         "SVC": SupportVector("linear", C=1.0),
-        "LinearSVC": HingeLinear(C=1.0),
+        "LinearSVC": SquaredHinge(C=1.0),
         "MultinomialNB": NaiveBayes("multinomial", 1.0),
         "BernoulliNB": NaiveBayes("bernoulli", 1.0),
         "ComplementNB": NaiveBayes("complement", 1.0),

@@ -451,6 +451,26 @@ def _(spark, sf):
     return E.cell_scores(r, list(few_models()))
 
 
+def _bayes_cells() -> dict:
+    return {"word": (5, 10, 15, 20), "sentence": (1, 2, 3)}
+
+
+@query("V4_bayes_benchmark", f"SELECT level, size, round(avg(accuracy), 4) AS score FROM ({_grid_bayes_sql()}) GROUP BY level, size")
+def _(spark, sf):
+    """The whole benchmark with one model, against the statement that counts its accuracies."""
+    docs = labelled_documents(spark, sf)
+    tables = E.benchmark(docs, {"MultinomialNB": registry.NaiveBayes()}, _bayes_cells())
+    return (tables["scores"].where("size <> 'Baseline'")
+            .select("level", "size", F.round("score", 4).alias("score")))
+
+
+@query("V3_linear_grid")
+def _(spark, sf):
+    """Every cell and fold of the documents, fitted together."""
+    models = {"LogisticRegression": registry.classical_models()["LogisticRegression"]}
+    return E.cell_scores(E.evaluate_extractions(labelled_documents(spark, sf), models), list(models))
+
+
 @query("V4_benchmark")
 def _(spark, sf):
     return E.benchmark(labelled_users(spark, sf), few_models())["extraction_best"]
@@ -510,3 +530,64 @@ def _(spark, sf):
     fitted = registry.classical_models()["RidgeClassifier"].fit(rows, describe(rows, 2))
     scored = fitted.predict(rows)
     return scored.select("id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+# ---- squared hinge on two features against active-set Newton steps; the gap of kernel machines ----
+
+def _squared_hinge_sql(steps: int = 15) -> str:
+    """Each step solves (I + 2 sum x x') b = 2 sum y x over the rows within the margin."""
+    chain = ["""d AS (SELECT doc_id AS id, n_chars / 1000.0::DOUBLE AS x, CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS z,
+  2.0::DOUBLE * toxic - 1 AS y FROM documents JOIN labels USING (doc_id)),
+p0 AS (SELECT 0.0::DOUBLE AS bx, 0.0::DOUBLE AS bz, 0.0::DOUBLE AS b)"""]
+    for i in range(steps):
+        chain.append(f"""s{i} AS (SELECT 1 + 2 * sum(x * x) AS a, 2 * sum(x * z) AS b, 2 * sum(x) AS c, 1 + 2 * sum(z * z) AS e, 2 * sum(z) AS f,
+  1 + 2 * count(*)::DOUBLE AS i, 2 * sum(y * x) AS u, 2 * sum(y * z) AS v, 2 * sum(y) AS w FROM d, p{i} WHERE y * (bx * x + bz * z + p{i}.b) < 1),
+t{i} AS (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM s{i}),
+p{i + 1} AS (SELECT (u * (e * i - f * f) - b * (v * i - f * w) + c * (v * f - e * w)) / det AS bx,
+  (a * (v * i - f * w) - u * (b * i - f * c) + c * (b * w - v * c)) / det AS bz,
+  (a * (e * w - v * f) - b * (b * w - v * c) + u * (b * f - e * c)) / det AS b FROM t{i})""")
+    return "WITH " + ",\n".join(chain) + f""" SELECT id, CAST(CASE WHEN s > 0 THEN 1 ELSE 0 END AS INT) AS pred, round(s, 5) + 0.0::DOUBLE AS score
+  FROM (SELECT id, bx * x + bz * z + p{steps}.b AS s FROM d, p{steps})"""
+
+
+def two_columns(spark, sf) -> DataFrame:
+    """(id, label, features): length and language of the labelled documents, label toxic."""
+    from pyspark.ml.feature import VectorAssembler
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    rows = table(spark, sf, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").alias("id"), "label", (F.col("n_chars") / 1000).alias("x"),
+        F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("z"))
+    return VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(rows)
+
+
+@query("M4_squared_hinge", _squared_hinge_sql())
+def _(spark, sf):
+    rows = two_columns(spark, sf)
+    fitted = registry.classical_models()["LinearSVC"].fit(rows, describe(rows, 2))
+    return fitted.predict(rows).select("id", "pred", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
+def _duality(spark, sf, name: str) -> DataFrame:
+    """Rows, rank and the relative gap between primal and dual objective of a machine on documents."""
+    from thresher.models.linear import FittedSupport
+    model = {**registry.classical_models(), **registry.optimized_classical_models()}[name]
+    data = labelled_documents(spark, sf)
+    bag = BagOfWords().fit(data)
+    fitted: FittedSupport = E.fit_model(model, data, bag, describe(data, len(bag.terms)))
+    gap = float((fitted.found.gap / fitted.found.objective).max())
+    return data.groupBy("label").agg(F.count("*").alias("n")).select(
+        F.lit(name).alias("model"), "label", "n", F.lit(gap < 1e-3).alias("gap_below"))
+
+
+GAP_SQL = """SELECT '{}' AS model, quality AS label, count(*) AS n, true AS gap_below
+  FROM documents JOIN labels USING (doc_id) GROUP BY quality"""
+
+
+@query("M5_dual_gap", GAP_SQL.format("SVC"))
+def _(spark, sf):
+    return _duality(spark, sf, "SVC")
+
+
+@query("M6_dual_gap", GAP_SQL.format("OptimizedSVC"))
+def _(spark, sf):
+    return _duality(spark, sf, "OptimizedSVC")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, with a short plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def in_task(spark: SparkSession, function: Callable, *arguments):
+    """``function(*arguments)``, evaluated in one task.
+
+    For the algebra of small matrices: tasks run it on one thread, while the threads of a linear
+    algebra library may be lost where the driver started the JVM, and never answer.
+    """
+    sent = spark.sparkContext.broadcast(arguments)
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"out": [pickle.dumps(function(*sent.value))]})
+    found = spark.range(0, 1, 1, 1).mapInArrow(run, "out binary").first()["out"]
+    sent.unpersist()
+    return pickle.loads(found)
