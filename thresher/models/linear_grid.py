@@ -134,7 +134,7 @@ def cross_validated_linear(folded: DataFrame, models: dict[str, LinearSpec], k:
     mask = np.zeros((len(problems), int(sizes.sum())))
     for q, p in enumerate(problems):
         mask[q, columns] = in_fold[p.fold]
-    found = minimise(even, problems, sizes.tolist(), mask, np.array(weights), tol=1e-6)
+    found = minimise(even, problems, sizes.tolist(), mask, np.array(weights), tol=1e-7)
     even.unpersist()
     rows.unpersist()
 

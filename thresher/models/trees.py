@@ -61,14 +61,6 @@ class Forest(Model):
         return FittedProbabilities(est.fit(rows), ctx.classes)
 
 
-class ExtraTrees(Forest):
-    """Approximation of randomised splits: few bins and no bootstrap unless asked for."""
-
-    def __init__(self, trees: int = 100, max_depth: int = 10, min_leaf: int = 1,
-                 balanced: bool = False, bootstrap: bool = False):
-        super().__init__(trees, max_depth, min_leaf, balanced, bootstrap, max_bins=8)
-
-
 class Boosting(Model):
     """Gradient boosted trees; one against the rest beyond two classes."""
 

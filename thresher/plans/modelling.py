@@ -318,7 +318,7 @@ def _register_models() -> None:
         "M13": ("RandomForestClassifier", "ClinicalRandomForest"),
         "M14": ("ExtraTreesClassifier",),
         "M15": ("GradientBoostingClassifier", "ClinicalGradientBoosting"),
-        "M16": ("ClinicalXGBoost",), "M17": ("AdaBoostClassifier",),
+        "M16": ("ClinicalXGBoost", "LGBMClassifier"), "M17": ("AdaBoostClassifier",),
         "M18": ("ClinicalBagging",),
         "M19": ("VotingClassifier_Diverse", "ClinicalVotingClassifier"),
         "M20": ("StackingClassifier_LR",), "M22": ("BERT-LR", "BERT-SVM"),
@@ -326,6 +326,7 @@ def _register_models() -> None:
     }
     known = {**registry.all_models(), **registry.optimized_classical_models(),
              **registry.clinical_classical_models(), **registry.clinical_ensemble_models(True),
+             **registry.optimized_ensemble_models(True), **registry.external_boosters(),
              **registry.stacking_models()}
     for group, names in groups.items():
         for n in names:
@@ -591,3 +592,55 @@ def _(spark, sf):
 @query("M6_dual_gap", GAP_SQL.format("OptimizedSVC"))
 def _(spark, sf):
     return _duality(spark, sf, "OptimizedSVC")
+
+
+# ---- two rounds of second-order boosting on two columns ----
+
+TWO_ROUNDS = dict(rate=0.3, l1=0.001, l2=0.1, min_hessian=0.1)
+
+
+def _two_rounds_sql() -> str:
+    """Each round: the best cut of all rows, then of the side where it gains most (three leaves)."""
+    rate, l1, l2, least = (TWO_ROUNDS[c] for c in ("rate", "l1", "l2", "min_hessian"))
+
+    def gain(g, h):
+        return f"power(greatest(abs({g}) - {l1}, 0), 2) / ({h} + {l2}) / 2"
+
+    def best(name, rows):
+        return f"""{name} AS (SELECT * FROM (SELECT col, thr, gl, hl, gt - gl AS gr, ht - hl AS hr,
+  round({gain('gl', 'hl')} + {gain('(gt - gl)', '(ht - hl)')} - {gain('gt', 'ht')}, 9) AS gain FROM (
+  SELECT col, thr, sum(g) FILTER (v <= thr) AS gl, sum(h) FILTER (v <= thr) AS hl, sum(g) AS gt, sum(h) AS ht,
+    count(*) FILTER (v <= thr) AS nl, count(*) AS n FROM (SELECT g, h, col, thr, CASE WHEN col = 0 THEN x ELSE z END AS v FROM {rows}, cuts) GROUP BY col, thr)
+  WHERE nl > 0 AND nl < n AND hl >= {least} AND ht - hl >= {least}) ORDER BY gain DESC, col, thr LIMIT 1)"""
+
+    def leaf(g, h):
+        return f"(-sign({g}) * greatest(abs({g}) - {l1}, 0) / ({h} + {l2}) * {rate})"
+    parts = ["""d AS (SELECT doc_id AS id, least(n_chars // 400, 9)::DOUBLE AS x,
+  CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 0 END::DOUBLE AS z, quality AS y FROM documents JOIN labels USING (doc_id)),
+cuts AS (SELECT 0 AS col, i + 0.5::DOUBLE AS thr FROM range(9) t(i) UNION ALL SELECT 1, i + 0.5::DOUBLE FROM range(3) t(i)),
+m0 AS (SELECT *, 0.0::DOUBLE AS m FROM d)"""]
+    side = "(CASE WHEN b.col = 0 THEN x ELSE z END <= b.thr)"
+    for i in range(2):
+        p = "(1 / (1 + exp(-m)))"
+        parts += [f"g{i} AS (SELECT *, {p} - y AS g, {p} * (1 - {p}) AS h FROM m{i})", best(f"b{i}", f"g{i}"),
+                  f"s{i} AS (SELECT g{i}.*, {side} AS l FROM g{i}, b{i} b)",
+                  best(f"l{i}", f"(SELECT * FROM s{i} WHERE l)"), best(f"r{i}", f"(SELECT * FROM s{i} WHERE NOT l)"),
+                  f"c{i} AS (SELECT *, true AS side FROM l{i} UNION ALL SELECT *, false FROM r{i} ORDER BY gain DESC, side DESC LIMIT 1)",
+                  f"""m{i + 1} AS (SELECT s.id, x, z, y, m + CASE WHEN a.gain <= 0 THEN {leaf('(a.gl + a.gr)', '(a.hl + a.hr)')}
+  WHEN s.l = b.side AND b.gain > 0 THEN CASE WHEN {side} THEN {leaf('b.gl', 'b.hl')} ELSE {leaf('b.gr', 'b.hr')} END
+  WHEN s.l THEN {leaf('a.gl', 'a.hl')} ELSE {leaf('a.gr', 'a.hr')} END AS m FROM s{i} s, b{i} a, c{i} b)"""]
+    return "WITH " + ",\n".join(parts) + " SELECT id, round(1 / (1 + exp(-m)), 8) AS score FROM m2"
+
+
+@query("M16_two_rounds", _two_rounds_sql())
+def _(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from thresher.models.histograms import BoostSettings, SecondOrderBoosting
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = table(spark, sf, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").alias("id"), "label", F.least(F.floor(F.col("n_chars") / 400), F.lit(9)).cast("double").alias("x"),
+        F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3)
+        .otherwise(0).cast("double").alias("z"))
+    rows = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(rows)
+    model = SecondOrderBoosting(BoostSettings(rounds=2, max_depth=2, leaves=3, **TWO_ROUNDS))
+    return model.fit(rows, describe(rows, 2)).predict(rows).select("id", F.round("score", 8).alias("score"))
