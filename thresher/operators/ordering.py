@@ -41,8 +41,13 @@ def shuffled_row_number(df: DataFrame, keys: Sequence[str], id_col: str, seed: i
             .drop("_digest", "_bucket", "_start", *[f"_k{i}" for i in range(len(on))]))
 
 
+# Rows that one task orders, on average, and borders that are sent to all tasks.
+BUCKET_ROWS = 50_000
+MAX_BROADCAST_BORDERS = 1 << 20
+
+
 def running_sums(counts: DataFrame, keys: Sequence[str], order: str,
-                 sums: Sequence[str], splitters: int = 64,
+                 sums: Sequence[str], splitters: int | None = None,
                  keep: Callable[[], Column] | None = None) -> DataFrame:
     """Adds ``<c>_before`` (sum over smaller ``order`` values of the group) and
     ``<c>_total`` for every column in ``sums``.
@@ -50,23 +55,32 @@ def running_sums(counts: DataFrame, keys: Sequence[str], order: str,
     ``counts`` has one row per (keys, order) and no missing value in them.
     Bucket borders are the values whose hash falls in a residue class chosen
     from the group's size: about ``splitters`` of them, spread like the data,
-    and the same on every recomputation. ``keep`` may drop whole buckets before
-    rows are ordered, by ``_o_<c>`` (sum before the bucket), ``_s_<c>`` (sum of
-    the bucket) and ``<c>_total``.
+    and the same on every recomputation. Without ``splitters`` there are as many as
+    the largest group needs for buckets of BUCKET_ROWS rows, 64 at least: one more
+    count. Borders and bucket sums are broadcast as long as they are at most
+    MAX_BROADCAST_BORDERS, so rows are not shuffled by group. ``keep`` may drop whole
+    buckets before rows are ordered, by ``_o_<c>`` (sum before the bucket), ``_s_<c>``
+    (sum of the bucket) and ``<c>_total``.
     """
-    if splitters & (splitters - 1):
-        raise ValueError("splitters must be a power of two")
     keys = list(keys)
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    groups, largest = sizes.agg(F.count("*"), F.max("_n")).first()
+    if splitters is None:
+        splitters = 64
+        while splitters * BUCKET_ROWS < (largest or 0):
+            splitters *= 2
+    if splitters & (splitters - 1):
+        raise ValueError("splitters must be a power of two")
+    few = F.broadcast if groups * splitters <= MAX_BROADCAST_BORDERS else (lambda df: df)
     step = F.ceil(F.col("_n") / F.lit(float(splitters)))
-    cuts = (counts.select(*keys, order).join(sizes, keys)
+    cuts = (counts.select(*keys, order).join(few(sizes), keys)
             .where(F.pmod(F.xxhash64(order), step) == 0)
             .groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("_cuts")))
     # as many borders for every group, then a binary search in generated code
     at = F.transform(F.sequence(F.lit(1), F.lit(splitters - 1)),
                      lambda i: F.floor(i * F.size("_cuts") / F.lit(float(splitters))).cast("int"))
     cuts = cuts.select(*keys, F.transform(at, lambda i: F.get("_cuts", i)).alias("_cuts"))
-    bucketed = counts.join(cuts, keys, "left").withColumn("_bucket", F.lit(0))
+    bucketed = counts.join(few(cuts), keys, "left").withColumn("_bucket", F.lit(0))
     step = splitters // 2
     while step:
         higher = F.get("_cuts", F.col("_bucket") + (step - 1)) < F.col(order)
@@ -88,7 +102,7 @@ def running_sums(counts: DataFrame, keys: Sequence[str], order: str,
         offsets = offsets.where(keep())
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = bucketed.join(offsets, [*keys, "_bucket"])
+    out = bucketed.join(few(offsets), [*keys, "_bucket"])
     return out.select(
         *counts.columns,
         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before")
