@@ -188,13 +188,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with ``score`` (0 to 1, higher: label 1 is likelier).
+    A column of ``docs`` named ``score`` gives way to the new one.
 
     Null, empty and blank texts have no passage and get the share of label 1 in the sample.
     Long texts are read whole: their passages are longer. One row per input row, repeated rows
     alike; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from thresher.llm.sampling import labelled_sample
+from thresher.llm.sampling import drawn, labelled_sample
 from thresher.llm.words import CACHED_WORDS, slices
 
 SAMPLE = 16_000             # labelled documents for the lexicons and the start of the label model
@@ -275,25 +275,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                                              names=["terms", "chance"])
 
     share = min(1.0, fitted / max(1.0, all_votes[1].sum()))
-    part = docs.where(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    part = docs.where(drawn(share, F.lit("fit"), id_col))
     rows = part.select(text).mapInArrow(features, "terms array<int>, chance double").toArrow()
     if not rows.num_rows:
         return nothing
-    weight, bias = _fit_linear(rows.column("terms").to_pylist(), rows.column("chance").to_numpy(),
-                               len(lexicons.terms))
+    # rows come in no fixed order; sums of floating point numbers depend on it
+    terms, chance = zip(*sorted(zip(rows.column("terms").to_pylist(), rows.column("chance").to_pylist())))
+    weight, bias = _fit_linear(list(terms), np.array(chance), len(lexicons.terms))
     return ToxicityModel(lexicons, weight, bias)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher: toxic is likelier), with the columns of ``docs``
-    that are not the text.
+    that are not the text. A column of ``docs`` named ``score`` gives way to the new one.
 
     Null and empty texts hold no term and get the score of the bias. One row per input row,
     repeated rows alike; an empty table gives none. Texts of any length are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TermIds(shared.value.lexicons.terms)
