@@ -150,6 +150,12 @@ def _(spark, sf):
     return R.choose_label(user_topics(spark, sf), "target_label").select("user_id", "label")
 
 
+@query("T14_given_label", "WITH " + TOPICS_SQL + " SELECT user_id, CAST(user_id % 3 AS INT) AS label FROM topics")
+def _(spark, sf):
+    given = user_topics(spark, sf).withColumn("target_label", F.col("user_id") % 3)
+    return R.choose_label(given, "target_label").select("user_id", "label")
+
+
 # ---- text ----
 
 SPLIT_SQL = f"""d AS (SELECT doc_id, text, regexp_extract_all(text, '[^{SPACE_CLASS}]+') AS t FROM documents)"""
@@ -185,6 +191,19 @@ def _(spark, sf):
     return _documents_cut(spark, sf, "paragraph", 0)
 
 
+@query("X4_dispatch_levels", " UNION ALL ".join(
+    f"SELECT '{level}' AS level, {size} AS size, doc_id, digest FROM ({_cut_sql(cut)})" for level, size, cut in (
+        ("word", 5, "CASE WHEN 5 < len(t) THEN array_to_string(t[1:5], ' ') ELSE text END"),
+        ("sentence", 1, "array_to_string(t[1:5], ' ')"), ("paragraph", 1, "array_to_string(t[1:10], ' ')"),
+        ("paragraph", 0, "text"))))
+def _(spark, sf):
+    """One entry point for all levels, by name."""
+    parts = [_documents_cut(spark, sf, level, size).select(
+        F.lit(level).alias("level"), F.lit(size).alias("size"), "doc_id", "digest")
+        for level, size in (("word", 5), ("sentence", 1), ("paragraph", 1), ("paragraph", 0))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def _grid_sql(sizes, baseline: bool) -> str:
     parts = []
     for level, size, i in X.grid_cells(sizes, baseline):
