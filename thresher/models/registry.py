@@ -12,9 +12,10 @@ from thresher.models.discriminant import Discriminant
 from thresher.models.embedding import EmbeddingClassifier, MultilevelClassifier
 from thresher.models.ensemble import Stacking, Voting
 from thresher.models.histograms import BoostSettings, ExtraTrees, SecondOrderBoosting
-from thresher.models.linear import (HingeLinear, Logistic, Perceptron, Ridge, SquaredHinge,
+from thresher.models.linear import (HingeLinear, Logistic, Perceptron, Ridge, SquaredHinge,  # noqa: F401
                                     SupportVector)
 from thresher.models.neighbours import NearestNeighbours
+from thresher.models.stochastic import AdamPerceptron, StochasticHinge
 from thresher.models.trees import AdaBoost, Bagging, Boosting, Forest, Tree
 
 # Trees of unlimited depth: Spark ML allows 30 levels.
@@ -25,7 +26,7 @@ def classical_models() -> dict[str, Model]:
     return {
         "LogisticRegression": Logistic(),
         "RidgeClassifier": Ridge(),
-        "SGDClassifier": HingeLinear(alpha=1e-4, tol=1e-3),
+        "SGDClassifier": StochasticHinge(alpha=1e-4, tol=1e-3),
         "SVC": SupportVector("linear", C=1.0),
         "LinearSVC": SquaredHinge(C=1.0),
         "MultinomialNB": NaiveBayes("multinomial", 1.0),
@@ -33,7 +34,7 @@ def classical_models() -> dict[str, Model]:
         "ComplementNB": NaiveBayes("complement", 1.0),
         "DecisionTreeClassifier": Tree(max_depth=10, min_leaf=2),
         "KNeighborsClassifier": NearestNeighbours(5, "euclidean"),
-        "MLPClassifier": Perceptron((100,), max_iter=500),
+        "MLPClassifier": AdamPerceptron((100,), max_iter=500),
         "LinearDiscriminantAnalysis": Discriminant(),
         "QuadraticDiscriminantAnalysis": Discriminant(quadratic=True, ridge=1e-3),
     }
@@ -44,7 +45,7 @@ def optimized_classical_models() -> dict[str, Model]:
         "OptimizedLogisticRegression": Logistic(C=0.1, max_iter=2000),
         "OptimizedSVC": SupportVector("rbf", C=10.0),
         "OptimizedDecisionTree": Tree(max_depth=15, min_leaf=5),
-        "OptimizedMLP": Perceptron((200, 100), max_iter=1000),
+        "OptimizedMLP": AdamPerceptron((200, 100), max_iter=1000, alpha=1e-3, held_out=0.15),
         "OptimizedKNN": NearestNeighbours(7, "manhattan"),
         "OptimizedMultinomialNB": NaiveBayes("multinomial", 0.5),
     }
