@@ -133,11 +133,51 @@ def test_attention_finds_the_bad_passage():
     assert np.mean((scores > 0.5) == np.array(labels[300:])) > 0.9
 
 
+def plain_passages(text):
+    """Passages of at most 80 words, as even as they go, word by word."""
+    words = text.split()
+    n = -(-len(words) // 80)
+    return [[w for i, w in enumerate(words) if i * n // len(words) == p] for p in range(n)]
+
+
+def test_passages_one_by_one_and_in_a_batch():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["Ab", "ab", "x1", "12", "end.", "Ünï", "zz"], n)).encode()
+             for n in (0, 1, 79, 80, 81, 500, 3, 20_000)]
+    together = encode(texts, WordCodes())
+    for text, bag in zip(texts, together):
+        assert np.allclose(bag, encode([text], WordCodes())[0]) and bag.shape[1] == CODED
+        passages = plain_passages(text)
+        assert len(passages) == len(bag)
+        for words, row in zip(passages, bag):
+            assert np.isclose(row[0], np.mean([min(len(w.decode()), 40) / 10 for w in words]))
+            assert np.isclose(row[-1], np.log1p(len(words)))
+            if len(passages) == 1:
+                assert np.isclose(row[-3], np.mean([0, *(a == b for a, b in zip(words, words[1:]))]))
+
+
+def test_one_bad_passage_in_a_very_long_text():
+    """Passages keep their length, so attention can find one of 250."""
+    rng = np.random.default_rng(2)
+    fine = lambda n: " ".join(rng.choice(["plain", "Words", "of", "prose,", "and", "more."], n))
+    bad = lambda n: " ".join(rng.choice(["$$$", "!!!", "###", "%%%"], n))
+    texts, labels = [], []
+    for i in range(240):
+        words = fine(int(rng.integers(100, 900)))
+        texts.append((words + " " + bad(80) if i % 3 == 0 else words).encode())
+        labels.append(int(i % 3 != 0))
+    codes = WordCodes()
+    model = fit_attention(encode(texts, codes), np.array(labels))
+    clean, dirty = fine(20_000), fine(12_000) + " " + bad(160) + " " + fine(7_840)
+    scores = model.score(encode([clean.encode(), dirty.encode()], codes))
+    assert scores[0] > 0.5 > scores[1]
+
+
 def test_quality_odd_cases(spark):
     codes = WordCodes()
-    assert encode(b"", codes).shape == (0, CODED) and encode(b" \n", codes).shape == (0, CODED)
-    long = encode(b"word " * 200_001, codes)
-    assert len(long) == 64 and np.allclose(long[:, 0], long[0, 0])
+    assert [bag.shape for bag in encode([b"", b" \n"], codes)] == [(0, CODED)] * 2 and encode([], codes) == []
+    long = encode([b"word " * 200_001], codes)[0]
+    assert len(long) == 2501 and np.allclose(long[:, 0], long[0, 0])
     rows = documents()
     df = frame(spark, rows)
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(50)], "doc_id long, quality int")

@@ -19,8 +19,7 @@ from thresher.llm.sampling import labelled_sample
 from thresher.llm.words import slices
 
 SAMPLE = 8_000              # labelled documents for the fit
-PASSAGE_WORDS = 80          # passages grow in long documents, so that a bag has at most
-MOST_PASSAGES = 64
+PASSAGE_WORDS = 80
 IDENTITY = 24               # signs drawn from the hash of a word
 ENDINGS = b".,!?;:$%&#*|"   # fixed values: symbols that close a word
 SHAPES = 8 + len(ENDINGS)
@@ -28,6 +27,8 @@ BUCKETS = 64
 CODED = SHAPES + IDENTITY + 3
 HIDDEN, GATE = 24, 16
 CACHED_WORDS = 150_000
+# the signs of all numbers of twelve bits, lowest first
+SIGNS = ((np.arange(1 << 12)[:, None] >> np.arange(12)) & 1) * 2.0 - 1
 
 
 class WordCodes(dict):
@@ -35,6 +36,7 @@ class WordCodes(dict):
 
     def __init__(self) -> None:
         self.table = np.zeros((CACHED_WORDS, SHAPES + IDENTITY), np.float32)
+        self.buckets = np.zeros(CACHED_WORDS, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
@@ -52,7 +54,9 @@ class WordCodes(dict):
         if end >= 0:
             row[8 + end] = 1
         value = xxhash.xxh3_64_intdigest(word)
-        row[SHAPES:] = [(value >> i & 1) * 2.0 - 1 for i in range(IDENTITY)]
+        row[SHAPES:] = SIGNS[value & 0xFFF, :12]
+        row[SHAPES + 12:] = SIGNS[value >> 12 & 0xFFF, :12]
+        self.buckets[self[word]] = value % BUCKETS
         return self[word]
 
     def room(self, words: list[bytes]) -> None:
@@ -60,34 +64,51 @@ class WordCodes(dict):
             self.clear()
 
 
-def encode(text: bytes, codes: WordCodes) -> np.ndarray:
-    """One row of ``CODED`` numbers for each passage of a text; none without words."""
-    words = text.split()
-    n = len(words)
-    passages = min(MOST_PASSAGES, -(-n // PASSAGE_WORDS))
-    out = np.zeros((passages, CODED))
-    spread = np.zeros((passages, BUCKETS))
-    last = -1
-    for at in range(0, n, CACHED_WORDS // 2):       # bounds the memory of very long texts
-        part = words[at:at + CACHED_WORDS // 2]
+def encode(texts: list[bytes], codes: WordCodes) -> list[np.ndarray]:
+    """One row of ``CODED`` numbers for each passage of every text; none without words.
+
+    All texts of a batch go through together. A passage is ``PASSAGE_WORDS`` words at every
+    length of text, the last ones of a text sharing its rest evenly.
+    """
+    words, ends = [], []
+    for text in texts:
+        words += text.split()
+        ends.append(len(words))
+    ends = np.array(ends, np.int64)
+    begins = np.append(0, ends[:-1])
+    n = ends - begins
+    passages = -(-n // PASSAGE_WORDS)
+    first = np.cumsum(passages) - passages          # of each text, among all passages
+    total = int(passages.sum())
+    text_of = np.repeat(np.arange(len(texts)), passages)
+    place = np.arange(total) - first[text_of]
+    starts = begins[text_of] + -(-place * n[text_of] // np.maximum(1, passages[text_of]))
+    sizes = np.diff(np.append(starts, len(words)))
+    of = np.repeat(np.arange(total), sizes)         # the passage of each word
+    out = np.zeros((total, CODED))
+    spread = np.zeros(total * BUCKETS)
+    step = CACHED_WORDS // 8
+    for at in range(0, len(words), step):           # bounds the memory of very long texts
+        part = words[at:at + step]
         codes.room(part)
         rows = np.fromiter(map(codes.__getitem__, part), np.int64, len(part))
-        of = (np.arange(at, at + len(part)) * passages) // n
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        held = of[first]
-        out[held, :SHAPES + IDENTITY] += np.add.reduceat(codes.table[rows], first, axis=0)
-        same = np.diff(rows, prepend=last) == 0
-        out[held, -3] += np.add.reduceat(same.astype(float), first)
+        mine = of[at:at + step]
+        cut = np.flatnonzero(np.diff(mine, prepend=-1))
+        held = mine[cut]
+        out[held, :SHAPES + IDENTITY] += np.add.reduceat(codes.table[rows], cut, axis=0)
+        # a word that repeats the one before it in its text
+        same = np.diff(rows, prepend=-1) == 0
+        new_text = begins[(begins >= at) & (begins < at + len(part))] - at
+        same[new_text] = False
+        out[held, -3] += np.add.reduceat(same.astype(float), cut)
         # the buckets hash the identity signs again, so they do not depend on the cache
-        bucket = codes.table[rows, SHAPES:SHAPES + 6] > 0
-        np.add.at(spread, (of, bucket @ (1 << np.arange(6))), 1)
-        last = -1                                   # row numbers may change between parts
-    size = np.maximum(1, np.bincount((np.arange(n) * passages) // n, minlength=passages))[:, None] if n else 1
-    if n:
+        spread += np.bincount(mine * BUCKETS + codes.buckets[rows], minlength=total * BUCKETS)
+    if total:
+        size = sizes[:, None]
         out[:, :-2] /= size
-        out[:, -2] = ((spread / size) ** 2).sum(1)
-        out[:, -1] = np.log1p(size[:, 0])
-    return out
+        out[:, -2] = ((spread.reshape(total, BUCKETS) / size) ** 2).sum(1)
+        out[:, -1] = np.log1p(sizes)
+    return np.split(out, first[1:]) if len(texts) else []
 
 
 @dataclass
@@ -166,14 +187,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 label_col: str = "quality", sample: int = SAMPLE) -> AttentionModel:
     """Fits on about ``sample`` labelled documents at most, encoded in tasks.
 
-    The driver receives at most ``MOST_PASSAGES`` rows of ``CODED`` floats for each of them.
+    The driver receives ``CODED`` floats for each of their passages.
     Without labels of both kinds every score is the share of label 1.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in slices(batches):
-            bags = [encode(t or b"", codes).astype(np.float32).tobytes()
-                    for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            bags = [bag.astype(np.float32).tobytes() for bag in encode(
+                [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], codes)]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column("label")],
                                              names=["bag", "label"])
 
@@ -191,7 +212,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text"
     A column of ``docs`` named ``score`` gives way to the new one.
 
     Null, empty and blank texts have no passage and get the share of label 1 in the sample.
-    Long texts are read whole: their passages are longer. One row per input row, repeated rows
+    Long texts are read whole, in passages of the same length as others. One row per input row, repeated rows
     alike; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -200,7 +221,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in slices(batches, text_col):
-            bags = [encode(t or b"", codes) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            bags = encode([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()], codes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in others] + [pa.array(shared.value.score(bags), pa.float64())],
                 names=[*others, "score"])
