@@ -54,8 +54,8 @@ class WordCodes(dict):
         if end >= 0:
             row[8 + end] = 1
         value = xxhash.xxh3_64_intdigest(word)
-        row[SHAPES:] = SIGNS[value & 0xFFF, :12]
-        row[SHAPES + 12:] = SIGNS[value >> 12 & 0xFFF, :12]
+        row[SHAPES:SHAPES + 12] = SIGNS[value & 0xFFF]
+        row[SHAPES + 12:] = SIGNS[value >> 12 & 0xFFF]
         self.buckets[self[word]] = value % BUCKETS
         return self[word]
 
@@ -98,6 +98,7 @@ def encode(texts: list[bytes], codes: WordCodes) -> list[np.ndarray]:
         out[held, :SHAPES + IDENTITY] += np.add.reduceat(codes.table[rows], cut, axis=0)
         # a word that repeats the one before it in its text
         same = np.diff(rows, prepend=-1) == 0
+        same[0] = at > 0 and words[at] == words[at - 1]
         new_text = begins[(begins >= at) & (begins < at + len(part))] - at
         same[new_text] = False
         out[held, -3] += np.add.reduceat(same.astype(float), cut)
