@@ -2,7 +2,7 @@
 
 Sums and covariances are aggregates over all rows, exact in whole numbers, so they do not
 depend on how rows are dealt out. What reaches the driver is the covariance alone: width
-squared numbers, whatever the number of rows.
+squared numbers, whatever the number of rows. One task finds its components.
 
 The components come from FEAST (Polizzi, 2009). Inertia counts of shifted factorisations cut
 the upper spectrum into intervals of few eigenvalues. For each, a quadrature of complex shifted
@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
+from thresher.session import in_task
+
 EXACT = 2.0 ** 53           # doubles hold every integer up to here
 LONG = (-(1 << 63), (1 << 63) - 1)
 LARGEST = 2.0 ** 52         # entries from here on have no long x
@@ -310,7 +312,7 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id",
     for i in range(d):
         for j in range(i, d):
             covariance[i, j] = covariance[j, i] = (n * products[i * d + j] - left[i] * left[j]) / (n * n)
-    values, vectors_of = top_eigenpairs(covariance, components)
+    values, vectors_of = in_task(rows.sparkSession, top_eigenpairs, covariance, components)
     k = len(values)
     if not k:
         return rows.sparkSession.createDataFrame([], f"{id_col} {id_type}, {SCHEMA}")
