@@ -4,7 +4,7 @@ import pytest
 from corpus_pipeline import line_dedup
 from thresher.llm.decontaminate import TokenHashes
 from thresher.llm.lines import (HELD, SIZE_BITS, dedup_lines, edit_distance, line_hashes, line_tokens, most_edits,
-                                simhashes, with_partner)
+                                parity_sketches, simhashes, with_partner)
 from thresher.llm.queries import op10_line_dedup
 
 SCHEMA = "doc_id long, text string, node string, root int, key string"
@@ -134,6 +134,8 @@ def test_sketches_of_similar_lines_are_close(vocabulary):
     for pair in similar_pairs(2, vocabulary):
         x, y = (line_hashes(own, np.array([len(own)]))[1][0] for own in (tokens_of(" ".join(p), cache) for p in pair))
         assert int(x ^ y).bit_count() <= 2 * most_edits(max(map(len, pair)), 0.9)
+        x, y = parity_sketches([tokens_of(" ".join(p), cache) for p in pair])
+        assert np.bitwise_count(x ^ y).sum() <= 2 * most_edits(max(map(len, pair)), 0.9)
 
 
 @pytest.mark.parametrize("size", [9, 10, 12, 20, 30, 50, 100, 200, 400])
