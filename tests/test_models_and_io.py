@@ -169,3 +169,42 @@ def test_every_query_is_registered_with_unique_sql():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 140
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("kind", ["sphere", "far", "copies", "outlier", "zero", "short"])
+def test_bounds_of_distances_lose_no_neighbour(metric, kind):
+    import numpy as np
+    from thresher.models.neighbours import _best
+    rng = np.random.default_rng(5)
+    n = 4 if kind == "short" else 900
+    x = rng.normal(size=(n, 20))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "far":
+        x += 1e5                                # bounds in single precision say little here
+    if kind == "copies":
+        x[100:600], x[600:700] = x[0], x[1] + 1e-9 * rng.normal(size=(100, 20))
+    if kind == "outlier":
+        x[3], x[4] = 1e9, -1e5
+    if kind == "zero":
+        x[:] = 0
+    fold = np.arange(n) % 3
+    got = [np.concatenate(parts) for parts in zip(*_best(x, fold, x, fold, 6, metric))]
+    for i in range(0, n, 7):
+        diff = np.abs(x - x[i])
+        d = diff.sum(axis=1) if metric == "manhattan" else np.sqrt((diff * diff).sum(axis=1))
+        d[fold == fold[i]] = np.inf
+        want = [j for j in np.lexsort((np.arange(n), d))[:6].tolist() if np.isfinite(d[j])]
+        assert got[1][got[0] == i].tolist() == want and got[2][got[0] == i].tolist() == d[want].tolist()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_few_distances_are_measured(metric, monkeypatch):
+    import numpy as np
+    from thresher.models import neighbours
+    x = np.random.default_rng(1).normal(size=(3000, 64))
+    measured, plain = [], neighbours._measured
+    monkeypatch.setattr(neighbours, "_measured", lambda a, b, m: measured.append(len(a)) or plain(a, b, m))
+    none = np.full(3000, -1)
+    found = [len(q) for q, _, _ in neighbours._best(x, none, x, none + 1, 5, metric)]
+    assert sum(found) == 15000 and sum(measured) < 0.05 * 3000 ** 2
