@@ -12,7 +12,7 @@ from thresher.models.kernels import KernelMap
 from thresher.models.linear import HingeLinear, SquaredHinge, SupportVector, _engine_rows, _svc
 from thresher.models.base import weighted
 from thresher.models.linear_grid import LinearSpec, cross_validated_linear
-from thresher.models.newton import LOSSES, Problem, minimise
+from thresher.models.newton import LOSSES, Layout, Problem, _packed, minimise
 from thresher.operators.folds import stratified_folds
 
 
@@ -95,6 +95,18 @@ def test_support_vectors_have_a_small_gap(spark, kernel):
         assert all(value(w + 0.05 * rng.normal(size=4), b + 0.05 * rng.normal()) > best * (1 - 1e-3) for _ in range(300))
 
 
+def test_passes_read_packed_rows(spark):
+    """A pass reads bytes of many rows at a time, in several tasks also for few rows."""
+    x, y = points(n=9000, d=3)
+    df = frame(spark, x, y)
+    rows = _engine_rows(weighted(df, describe(df, 3)), describe(df, 3), "features")
+    assert rows.rdd.getNumPartitions() == 3
+    packed = _packed(rows, Layout([Problem("logistic")], [3])).collect()
+    assert len(packed) <= 6 and sum(r["rows"] for r in packed) == 9000
+    values = np.concatenate([np.frombuffer(r["values"]) for r in packed])
+    assert np.allclose(np.sort(values), np.sort(x.ravel()))
+
+
 def test_kernel_rank_follows_the_error(spark):
     x, y = points(n=100, d=3)
     df = frame(spark, x, y)
