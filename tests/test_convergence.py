@@ -95,6 +95,16 @@ def test_support_vectors_have_a_small_gap(spark, kernel):
         assert all(value(w + 0.05 * rng.normal(size=4), b + 0.05 * rng.normal()) > best * (1 - 1e-3) for _ in range(300))
 
 
+def test_wide_linear_machines_need_no_coordinates(spark):
+    """Fitted on the columns, however many: no rank that grows with the rows."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((150, 100)) < 0.1).astype(float)
+    y = (x[:, :5].sum(1) > 0).astype(int)
+    df = frame(spark, x, y)
+    fitted = SupportVector("linear").fit(df, describe(df, 100))
+    assert fitted.kernel is None and (fitted.found.gap < 1e-3 * fitted.found.objective).all()
+
+
 def test_passes_read_packed_rows(spark):
     """A pass reads bytes of many rows at a time, in several tasks also for few rows."""
     x, y = points(n=9000, d=3)
