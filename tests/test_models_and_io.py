@@ -208,3 +208,22 @@ def test_few_distances_are_measured(metric, monkeypatch):
     none = np.full(3000, -1)
     found = [len(q) for q, _, _ in neighbours._best(x, none, x, none + 1, 5, metric)]
     assert sum(found) == 15000 and sum(measured) < 0.05 * 3000 ** 2
+
+
+def test_directions_are_those_of_the_hash(spark):
+    """Vectors drawn by batch equal those of Spark's own hash, piece by piece."""
+    from thresher.models.embedding import WordVectorEncoder
+    texts = spark.createDataFrame([(1, "alpha beta alpha ab"), (2, "\u00e9t\u00e9 xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx 12")],
+                                  "id long, text string")
+    states = WordVectorEncoder(size=5).states(texts)
+    terms = spark.createDataFrame([(1, i, t) for i, t in enumerate("alpha beta alpha ab".split())] + [
+        (2, i, t) for i, t in enumerate(("\u00e9t\u00e9", "x" * 45, "12"))], "id long, pos int, term string")
+    marked = F.concat(F.lit("<"), "term", F.lit(">"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - 2)), lambda i: F.substring(marked, i, F.lit(3)))
+    hashes = F.transform(F.concat(F.array(marked), pieces), lambda p: F.xxhash64(p, F.lit(42)))
+    want = terms.select("id", "pos", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.aggregate(
+        hashes, F.lit(0.0), lambda total, h: total + F.xxhash64(h, j) / F.lit(float(2 ** 63) / 3 ** 0.5)) / F.size(hashes)).alias("want"))
+    rows = states.join(want, ["id", "pos"]).collect()
+    assert len(rows) == 7 and all(abs(a - b) < 1e-6 for r in rows for a, b in zip(r["vec"], r["want"]))
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan            # hashes once a term, not once a dimension
