@@ -227,3 +227,18 @@ def test_directions_are_those_of_the_hash(spark):
     assert len(rows) == 7 and all(abs(a - b) < 1e-6 for r in rows for a, b in zip(r["vec"], r["want"]))
     plan = states._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan            # hashes once a term, not once a dimension
+
+
+def test_user_encoders_get_small_batches(spark):
+    from thresher.models.embedding import BATCH_CHARACTERS, FunctionEncoder
+
+    def encode(batches):
+        import pandas as pd
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "pos": 0, "vec": [[float(len(pdf)), float(pdf["text"].str.len().sum())]] * len(pdf)})
+    long = BATCH_CHARACTERS // 3
+    texts = spark.range(0, 5000, 1, 1).select("id", F.when(F.col("id") % 500 == 1, F.repeat(F.lit("a"), long))
+                                              .otherwise(F.lit("b")).alias("text"))
+    rows = FunctionEncoder(encode, 2).states(texts).select("id", F.col("vec")[0].alias("n"), F.col("vec")[1].alias("c")).collect()
+    assert sorted(r["id"] for r in rows) == list(range(5000))
+    assert max(r["n"] for r in rows) <= 256 and max(r["c"] for r in rows) <= BATCH_CHARACTERS
