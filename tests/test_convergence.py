@@ -98,7 +98,7 @@ def test_support_vectors_have_a_small_gap(spark, kernel):
 def test_wide_linear_machines_need_no_coordinates(spark):
     """Fitted on the columns, however many: no rank that grows with the rows."""
     rng = np.random.default_rng(2)
-    x = (rng.random((150, 100)) < 0.1).astype(float)
+    x = (rng.random((1100, 100)) < 0.1).astype(float)
     y = (x[:, :5].sum(1) > 0).astype(int)
     df = frame(spark, x, y)
     fitted = SupportVector("linear").fit(df, describe(df, 100))
