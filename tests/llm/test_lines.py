@@ -221,3 +221,30 @@ def test_short_lines_count_in_query_and_pipeline(spark, tmp_path):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_wide_tables_are_gone_before_lines_are_linked(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from thresher.llm import lines
+    written, deleted, seen = {}, set(), []
+
+    def staged(df, name, old=lines.staged):
+        out = old(df, name)
+        written[name] = out
+        return out
+
+    def unstaged(table, old=lines.unstaged):
+        deleted.update(name for name, out in written.items() if out is table)
+        deleted.update("wide lines" for _ in [0] if "tokens" in table.columns and "doc" in table.columns)
+        old(table)
+
+    def linked(*arguments, old=lines.linked_groups, **options):
+        seen.append(set(deleted))
+        return old(*arguments, **options)
+    for name, own in (("staged", staged), ("unstaged", unstaged), ("linked_groups", linked)):
+        monkeypatch.setattr(lines, name, own)
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words), (2, words.replace("w7", "x")), (3, "one other line")],
+                                 "doc_id long, text string")
+    got = dedup_lines(docs).groupBy().agg(F.sum("n_removed")).first()[0]
+    assert got == 1 and {"sketches", "wide lines"} <= seen[0]

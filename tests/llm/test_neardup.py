@@ -111,3 +111,39 @@ def test_odd_sketches_estimate_high_similarities():
 
 def test_empty_table(spark):
     assert near_duplicates(empty(spark)).count() == 0
+
+
+def test_small_buckets_are_dealt_once_and_all_pairs_found(spark):
+    from thresher.llm.linking import _dealt, _tiled_pairs
+    # bucket 1 is one tile, bucket 2 two by two; node n is close to n + 1 only if n is even
+    rows = [(key, n, 10, [n // 2 * 7919], n if n else 0, 10, 0, count, count - 1)
+            for key, count in ((1, 6), (2, 1500)) for n in range(count)]
+    rows = spark.createDataFrame(rows, "key long, node long, size long, bits array<long>, root long, shared long,"
+                                 " main long, rows long, outside long")
+    assert _dealt(rows.where("key = 1")).count() == 6
+    for key, count in ((1, 6), (2, 1500)):
+        got = _tiled_pairs(rows.where(f"key = {key}"), 0, 0, 80, None, None).distinct()
+        assert {tuple(r) for r in got.collect()} == {(n, n + 1) for n in range(0, count, 2)}
+
+
+def test_links_do_not_depend_on_the_nearest_round(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from thresher.llm import linking
+    rng = np.random.default_rng(3)
+    members = spark.createDataFrame([(int(k), int(n)) for n in range(120) for k in set(rng.integers(0, 12, 3))],
+                                    "key long, node long")
+    traits = spark.createDataFrame([(n, 10, [int(rng.integers(0, 16))]) for n in range(120)],
+                                   "node long, size long, bits array<long>")
+    asked = []
+
+    def confirm(pairs):
+        asked.append(1)
+        return pairs.where((F.col("a") + F.col("b")) % 5 != 0)
+    found = []
+    for few, sliced in ((0, linking.SLICED_ROWS), (linking.FEW_PAIRS, linking.SLICED_ROWS), (0, 1)):
+        monkeypatch.setattr(linking, "FEW_PAIRS", few)
+        monkeypatch.setattr(linking, "SLICED_ROWS", sliced)
+        asked.clear()
+        groups = linking.linked_groups(members, traits, confirm, 1, 80)
+        found.append(({tuple(r) for r in groups.collect()}, len(asked)))
+    assert found[0][0] == found[1][0] == found[2][0] and [n for _, n in found] == [3, 2, 3]
