@@ -242,3 +242,16 @@ def test_user_encoders_get_small_batches(spark):
     rows = FunctionEncoder(encode, 2).states(texts).select("id", F.col("vec")[0].alias("n"), F.col("vec")[1].alias("c")).collect()
     assert sorted(r["id"] for r in rows) == list(range(5000))
     assert max(r["n"] for r in rows) <= 256 and max(r["c"] for r in rows) <= BATCH_CHARACTERS
+
+
+def test_kinds_of_bayes_share_their_counts(spark, monkeypatch):
+    from thresher.models import bayes
+    rows = [(i, f"t{i % 3} t{i % 5} t{i % 7}", int(i % 3 == 0), i % 5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string, label int, fold int")
+    counted = []
+    monkeypatch.setattr(bayes, "_counts", lambda *a, old=bayes._counts: counted.append(1) or old(*a))
+    together = bayes.cross_validated_kinds(docs, bayes.KINDS)
+    assert counted == [1]
+    for kind, got in zip(bayes.KINDS, together):
+        alone = bayes.cross_validated_bayes(docs, kind)
+        assert got.columns == alone.columns and sorted(got.collect()) == sorted(alone.collect())
