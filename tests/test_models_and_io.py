@@ -255,3 +255,18 @@ def test_kinds_of_bayes_share_their_counts(spark, monkeypatch):
     for kind, got in zip(bayes.KINDS, together):
         alone = bayes.cross_validated_bayes(docs, kind)
         assert got.columns == alone.columns and sorted(got.collect()) == sorted(alone.collect())
+
+
+@pytest.mark.parametrize("name", ["GradientBoostingClassifier", "LGBMClassifier", "SVC"])
+def test_boosting_and_machines_read_merged_rows(spark, data, monkeypatch, name):
+    from thresher.models import base, histograms, linear, trees
+    model = {**registry.all_models(), **registry.external_boosters()}[name]
+    bag = BagOfWords().fit(data)
+    ctx = describe(data, len(bag.terms))
+    merged, plain = [], model.fit(base.settled(bag.transform(data).drop("text"), ctx.n), ctx)
+    monkeypatch.setattr(linear, "merge_rows", lambda *a: merged.append(1) or base.merge_rows(*a))
+    monkeypatch.setattr(E, "merge_rows", lambda *a: merged.append(1) or base.merge_rows(*a))
+    found = E.fit_model(model, data, bag, ctx)
+    rows = bag.transform(data)
+    a, b = ({r["id"]: r["proba"] for r in m.predict(rows).collect()} for m in (plain, found))
+    assert merged and max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-4
