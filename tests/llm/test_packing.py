@@ -86,3 +86,20 @@ def test_round_trip(spark):
             piece = next(p for p in pieces[at] if p == ids[4 * at:4 * at + len(p)])
             at += len(piece) // 4
     assert pack_documents(empty(spark), PATH).count() == 0
+
+
+def test_few_words_are_held_and_frequent_ones_stay(monkeypatch):
+    from thresher.llm import packing
+    assert packing.CACHED_WORDS <= 300_000
+    monkeypatch.setattr(packing, "CACHED_WORDS", 400)
+    tokenizer, words = load_tokenizer(PATH), WordTokenizer(PATH)
+    for turn in range(30):
+        text = " ".join(f"The rare{turn}x{i}. again, Again!" for i in range(100))
+        ids, none = words.encode([text.encode(), b""])
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and not len(none)
+        assert len(words.words) <= 400 + 103 and {b"The", b"again,", b"Again!"} <= words.words.keys()
+        if turn == 20:
+            known = words._learn
+            words._learn = lambda: (seen.extend(words.words.new), known())
+            seen = []
+    assert len(seen) == 900 and not {b"The", b"again,", b"Again!"} & set(seen)

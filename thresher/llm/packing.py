@@ -22,7 +22,7 @@ from thresher.llm.words import slices
 LENGTH = 2048
 END_ID = 1
 GROUP_BYTES = 4 << 20
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000      # bounds what a Python worker holds between its tasks, in whatever operator
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -69,6 +69,7 @@ class WordTokenizer:
         self.word_units = np.empty((0, 2), np.int64)
         self.counts = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.used = np.empty(0, np.int64)       # how often each word was met
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
@@ -105,15 +106,33 @@ class WordTokenizer:
         self.counts, self.ids = np.concatenate(counts), np.concatenate(ids)
         self.starts = np.cumsum(self.counts) - self.counts
 
+    def _forget_rare(self) -> None:
+        """Keeps words met more than once, half of ``CACHED_WORDS`` at most, with the ids they have."""
+        again = np.flatnonzero(self.used > 1)
+        kept = np.sort(again[np.argsort(-self.used[again], kind="stable")[:CACHED_WORDS // 2]])
+        units, place = np.unique(self.word_units[kept], return_inverse=True)
+        words, parts = list(self.words), list(self.units)
+        found = [self.ids[at:at + n] for at, n in zip(self.starts[units], self.counts[units])]
+        counts = self.counts[units]
+        self._forget()
+        self.words.update((words[old], new) for new, old in enumerate(kept.tolist()))
+        self.units.update((parts[old], new) for new, old in enumerate(units.tolist()))
+        self.word_units, self.counts = place.reshape(-1, 2), counts
+        self.ids = np.concatenate([self.ids, *found])
+        self.starts = np.cumsum(counts) - counts
+        self.used = np.zeros(len(kept), np.int64)
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.words) > CACHED_WORDS:
-            self._forget()
+            self._forget_rare()
         split = [text.split() for text in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         words = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)),
                             np.int64, sizes.sum())
         if self.words.new:
             self._learn()
+        self.used = np.append(self.used, np.zeros(len(self.words) - len(self.used), np.int64))
+        self.used += np.bincount(words, minlength=len(self.used))
         if not len(words):
             return [np.empty(0, np.uint32) for _ in texts]
         units = self.word_units[words].ravel()
@@ -246,7 +265,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_tokenizer(tokenizer_path)
         held: dict[int, list[tuple[int | None, np.ndarray]]] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for doc, group, ids in zip(batch.column("doc_id").to_pylist(),
                                        batch.column("group").to_pylist(), words.encode(texts)):
