@@ -93,3 +93,24 @@ def test_early_stopping_keeps_the_best(spark):
     assert short.epochs < 300
     by_loss = AdamPerceptron((4,), max_iter=6, early_stopping=False).fit(df, describe(df, 4))
     assert by_loss.epochs == 6
+
+
+def test_few_distinct_rows_are_counted_for_many_epochs_at_once(spark, monkeypatch):
+    from thresher.models import stochastic
+    x, y = points(12)
+    x, y = np.tile(x, (40, 1)), np.tile(y, 40)
+    y[::7] ^= 1
+    df, calls = frame(spark, x, y), []
+
+    def summed(*arguments, old=stochastic._summed):
+        calls.append(1)
+        return old(*arguments)
+    monkeypatch.setattr(stochastic, "_summed", summed)
+    for options in ({"max_iter": 8}, {"max_iter": 4, "early_stopping": False}, {"max_iter": 40, "rate": 0.05, "patience": 2}):
+        model, found = AdamPerceptron(**{"hidden": (5,), "rate": 0.02, "batch": 100, **options}), []
+        for few, passes in ((1024, 2), (0, 1000)):
+            monkeypatch.setattr(stochastic, "FEW_ROWS", few)
+            calls.clear()
+            found.append(model.fit(df.repartition(3), describe(df, 4)))
+            assert len(calls) <= passes
+        assert found[0].epochs == found[1].epochs and np.abs(found[0].vector - found[1].vector).max() < 1e-9
