@@ -3,8 +3,8 @@ import pytest
 
 from corpus_pipeline import line_dedup
 from thresher.llm.decontaminate import TokenHashes
-from thresher.llm.lines import (HELD, SIZE_BITS, dedup_lines, edit_distance, line_hashes, line_tokens, most_edits,
-                                parity_sketches, simhashes, with_partner)
+from thresher.llm.lines import (FAR_WORDS, HELD, SIZE_BITS, dedup_lines, edit_distance, line_hashes, line_tokens, most_edits,
+                                parity_sketches, partner_groups, simhashes, with_partner)
 from thresher.llm.queries import op10_line_dedup
 
 SCHEMA = "doc_id long, text string, node string, root int, key string"
@@ -248,3 +248,47 @@ def test_wide_tables_are_gone_before_lines_are_linked(spark, monkeypatch):
                                  "doc_id long, text string")
     got = dedup_lines(docs).groupBy().agg(F.sum("n_removed")).first()[0]
     assert got == 1 and {"sketches", "wide lines"} <= seen[0]
+
+
+def far_words(lines):
+    """The words of the SimHashes that are compared in each round of blocks."""
+    words = simhashes(np.concatenate(lines), np.array(list(map(len, lines))))
+    return [words[:, [at, (at + 1) % words.shape[1]]] for at in range(0, words.shape[1], FAR_WORDS)]
+
+
+@pytest.mark.parametrize("size", [48, 60, 100, 200, 400, 1000])
+def test_long_lines_of_a_bucket_are_told_apart_by_their_simhashes(size):
+    """Those that are not similar go; no pair with as many edits as allowed does."""
+    rng = np.random.default_rng(size)
+    cache, pairs = TokenHashes(), []
+    while len(pairs) < 200:
+        a = [f"v{i}" for i in rng.integers(0, 10 ** 7, size)]
+        b = edited(rng, a, size // 10)
+        if distance_within(a, b):
+            pairs.append((a, b))
+    tokens = [tokens_of(" ".join(x), cache) for pair in pairs for x in pair]
+    sketch = np.zeros(2, np.uint64)
+    for words in far_words(tokens):
+        near = [with_partner(np.sort([len(tokens[i]), len(tokens[j])]), sketch, 0.9, words[[i, j]]).any()
+                for i, j in ((2 * n, 2 * n + 1) for n in range(len(pairs)))]
+        apart = [with_partner(np.array([size, size]), sketch, 0.9, words[[i, i + 2]]).any()
+                 for i in range(0, len(tokens) - 2, 2)]
+        assert all(near) and sum(apart) <= 3        # a chance of 3e-4 each
+
+
+def test_pairs_of_one_bucket_that_have_nothing_in_common_part():
+    rng = np.random.default_rng(5)
+    size = np.sort(rng.integers(20, 40, 300))
+    sketch = rng.integers(0, 1 << 62, 30).astype(np.uint64)[rng.integers(0, 30, 300)]
+    sketch ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    group = partner_groups(size, sketch, 0.9)
+    reached = list(range(300))
+    for _ in range(300):
+        before = list(reached)
+        for i in range(300):
+            for j in range(i):
+                if 10 * size[j] >= 9 * size[i] and int(sketch[i] ^ sketch[j]).bit_count() <= 2 * (size[i] // 10):
+                    reached[i] = reached[j] = min(reached[i], reached[j])
+        if before == reached:
+            break
+    assert group.tolist() == reached and len(set(reached)) > 25
