@@ -292,3 +292,62 @@ def test_pairs_of_one_bucket_that_have_nothing_in_common_part():
         if before == reached:
             break
     assert group.tolist() == reached and len(set(reached)) > 25
+
+
+def one_bucket(seed, n, copies):
+    """Rows of one bucket, sorted by key: ``n`` unrelated lines and ``copies`` of some of them with a few edits."""
+    from thresher.llm.lines import ROW, parities
+    rng = np.random.default_rng(seed)
+    lines = [rng.integers(0, 10 ** 6, rng.integers(9, 60)).astype(np.uint32) for _ in range(n)]
+    for i in rng.integers(0, n, copies):
+        line = lines[i].copy()
+        line[rng.integers(0, len(line), len(line) // 10)] = rng.integers(0, 10 ** 6)
+        lines.append(np.delete(line, 0) if len(line) > 9 and rng.random() < 0.3 else line)
+    size = np.array(list(map(len, lines)))
+    rows = np.zeros(len(lines), ROW)
+    rows["key"], rows["node"], rows["parity"] = size, np.arange(len(lines)), parities(np.concatenate(lines), size)
+    return rows[np.argsort(rows["key"], kind="stable")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_splitting_a_bucket_loses_no_possible_pair(seed):
+    from thresher.llm.lines import possible_pairs, split_members, split_pairs
+    rows = one_bucket(seed, 1500, 600)
+    wanted = {(i, j) for x, y in possible_pairs(rows["key"], rows["parity"], 0.9) for i, j in zip(x.tolist(), y.tolist())}
+    found = {(min(i, j), max(i, j)) for x, y in split_pairs(rows, 0.9) for i, j in zip(x.tolist(), y.tolist())}
+    assert len(wanted) > 500 and found == wanted
+    node, _, key = split_members(rows, 0.9)
+    keys = {}
+    for n, k in zip(node.tolist(), key.tolist()):
+        keys.setdefault(n, set()).add(k)
+    assert all(keys[a] & keys[b] for a, b in ((rows["node"][i], rows["node"][j]) for i, j in wanted))
+
+
+def test_unrelated_lines_of_a_large_bucket_do_not_go_on():
+    from thresher.llm.lines import bucket_pairs
+    rows = one_bucket(9, HELD + 500, 40)
+    found = list(bucket_pairs(rows, 0.9))
+    assert all(key is None for _, _, key in found)
+    assert 30 <= len({pair for a, b, _ in found for pair in zip(a.tolist(), b.tolist())}) <= 60
+
+
+def test_a_set_of_lines_that_many_blocks_find_is_one():
+    from thresher.llm.lines import set_keys
+    node = np.array([5, -7, 9, 11, 12])
+    one, other = set_keys(np.array([0, 0, 2, 2, 4]), node), set_keys(np.array([0, 1, 1, 3, 3]), node[[4, 2, 3, 1, 0]])
+    assert one[0] == one[1] == other[3] == other[4] and one[2] == one[3] == other[1] == other[2]
+    assert len(set(one.tolist()) | set(other.tolist())) == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_what_is_taken_for_similar_without_edit_distance_is_so(seed):
+    from thresher.llm.lines import few_differ
+    rng, taken = np.random.default_rng(seed), 0
+    for _ in range(2000):
+        a = rng.integers(0, 6, rng.integers(5, 25))
+        b = np.array([int(str(t).removeprefix("new")) for t in edited(rng, a.tolist(), rng.integers(0, 4))] or [0])
+        most = int(rng.integers(0, 4))
+        if few_differ(a, b, most):
+            taken += 1
+            assert distance(a.tolist(), b.tolist()) <= most
+    assert taken > 300
