@@ -1,5 +1,7 @@
 """Fits end by their tolerance, at the optimum, however rows are dealt out."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -197,3 +199,47 @@ def test_squared_hinge_model(spark):
     df = frame(spark, x, y + (x[:, 0] > 1))
     fitted = SquaredHinge(C=0.7).fit(df, describe(df, 4))
     assert fitted.predict(df, ["label"]).where("pred = label").count() > 60
+
+
+def jobs_of(spark, run):
+    """What ``run`` returns and how many jobs it took."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = run()
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cells(spark, n=60):
+    """Rows of two cells of 3 and 2 columns, in three folds; cell 1 lacks a row in each ten."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for c, (start, width) in enumerate(((0, 3), (3, 2))):
+        for i in range(n):
+            x = rng.normal(size=width)
+            if c == 0 or i % 10:
+                rows.append((c, i % 3, int(x.sum() + rng.normal() > 0), 1.0 + i % 2, list(range(start, start + width)), x.tolist()))
+    return spark.createDataFrame(rows, "cell int, fold int, label int, weight double, index array<int>, values array<double>")
+
+
+def test_steps_of_held_rows_need_no_jobs(spark, monkeypatch):
+    """Rows that a task can hold are fitted in a few jobs, at the same point as with a job per step."""
+    rows = cells(spark).persist()
+    problems = [Problem(loss, 0.5, 0.1, fold) for loss in ("logistic", "squared_hinge", "squares") for fold in (0, 1, -1)]
+    mask = np.ones((len(problems), 5))
+    mask[2, 1] = 0
+    weights = np.random.default_rng(5).uniform(0.5, 2, (len(problems), 2, 2))
+
+    def fit():
+        return minimise(rows, problems, [3, 2], mask, weights)
+    held, few = jobs_of(spark, fit)
+    monkeypatch.setattr("thresher.models.newton.SHARED", 0)     # a task for each problem
+    alone = fit()
+    monkeypatch.setattr("thresher.models.newton.HELD", 0)
+    by_passes, many = jobs_of(spark, fit)
+    assert few <= 6 < many and held.passes > 6
+    for other in (alone, by_passes):
+        assert np.abs(held.weights - other.weights).max() < 1e-6 and np.abs(held.intercepts - other.intercepts).max() < 1e-6
+        assert np.allclose(held.objective, other.objective) and (held.dead == other.dead).all()
