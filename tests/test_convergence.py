@@ -243,3 +243,43 @@ def test_steps_of_held_rows_need_no_jobs(spark, monkeypatch):
     for other in (alone, by_passes):
         assert np.abs(held.weights - other.weights).max() < 1e-6 and np.abs(held.intercepts - other.intercepts).max() < 1e-6
         assert np.allclose(held.objective, other.objective) and (held.dead == other.dead).all()
+
+
+@pytest.mark.parametrize("own", [0.0, 0.5])
+def test_dual_ascent_certifies_hinge_problems(spark, monkeypatch, own):
+    """Wide hinge problems of held rows end by their gap, in a few jobs; rows of no column and of a weight count."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((240, 60)) < 0.15) * rng.integers(1, 3, (240, 60))
+    x[:7] = 0
+    y = (x[:, :8].sum(1) + rng.normal(size=240) > 2.5).astype(int)
+    weight = rng.integers(1, 4, 240)
+    rows = spark.createDataFrame(
+        [(0, i % 3, int(b), float(w), np.flatnonzero(a).tolist(), a[a > 0].astype(float).tolist())
+         for i, (a, b, w) in enumerate(zip(x, y, weight))],
+        "cell int, fold int, label int, weight double, index array<int>, values array<double>").persist()
+    monkeypatch.setattr("thresher.models.newton.WHOLE", 0)
+    mask = np.ones((2, 60))
+    mask[1, :4] = 0
+    problems = [Problem("hinge", 0.5, own), Problem("hinge", 2.0, own, fold=1)]
+    found, jobs = jobs_of(spark, lambda: minimise(rows, problems, [60], mask))
+    again = minimise(rows.repartition(5), problems, [60], mask)
+    assert jobs <= 6 and (found.weights == again.weights).all()         # however rows are dealt out
+    assert (found.gap <= 1e-3 * found.objective).all() and (found.weights[1, :4] == 0).all()
+    for q, p in enumerate(problems):
+        used = np.arange(240) % 3 != p.fold
+        a, t, c = x[used], 2.0 * y[used] - 1, weight[used]
+
+        def value(w, b):
+            return (c * np.maximum(0, 1 - t * (a @ w + b))).sum() + p.penalty / 2 * w @ w + own / 2 * b * b
+        w, b = found.weights[q], found.intercepts[q, 0]
+        assert abs(value(w, b) - found.objective[q, 0]) < 1e-6
+        moves = mask[q] * rng.normal(size=(300, 60))
+        assert all(value(w + s * m, b + s * m[-1]) > value(w, b) * (1 - 1e-3) for m in moves for s in (0.003, 0.05))
+
+
+def test_one_class_has_no_dual(spark, monkeypatch):
+    monkeypatch.setattr("thresher.models.newton.WHOLE", 0)
+    rows = spark.createDataFrame([(0, i % 2, i % 2, 1.0, [0], [float(i)]) for i in range(6)],
+                                 "cell int, fold int, label int, weight double, index array<int>, values array<double>")
+    found = minimise(rows, [Problem("hinge", fold=0), Problem("hinge")], [1])
+    assert found.dead.tolist() == [[True], [False]] and (found.weights[0] == 0).all()
