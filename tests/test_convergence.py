@@ -5,16 +5,18 @@ import uuid
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from thresher.evaluation import evaluate as E
 from thresher.models import registry
 from thresher.models.base import describe
+from thresher.models.ensemble import Stacking
 from thresher.models.kernels import KernelMap
 from thresher.models.linear import HingeLinear, SquaredHinge, SupportVector, _engine_rows, _svc
 from thresher.models.base import weighted
 from thresher.models.linear_grid import LinearSpec, cross_validated_linear
 from thresher.models.newton import LOSSES, Layout, Problem, _packed, minimise
+from thresher.models.trees import Tree
 from thresher.operators.folds import stratified_folds
 
 
@@ -283,3 +285,22 @@ def test_one_class_has_no_dual(spark, monkeypatch):
                                  "cell int, fold int, label int, weight double, index array<int>, values array<double>")
     found = minimise(rows, [Problem("hinge", fold=0), Problem("hinge")], [1])
     assert found.dead.tolist() == [[True], [False]] and (found.weights[0] == 0).all()
+
+
+def test_stacking_fits_from_short_plans(spark):
+    """What made the training rows and their folds is in no member's plan, not even as what is cached."""
+    plans, running = [], []
+
+    class Recorder(Tree):
+        def fit(self, train, ctx):
+            running.append(1)
+            plans.append((train._jdf.queryExecution().executedPlan().toString(), sum(running)))
+            fitted = super().fit(train, ctx)
+            running.append(-1)
+            return fitted
+    x, y = points()
+    df = frame(spark, x, y).withColumn("at", F.row_number().over(Window.orderBy("id"))).where("at > 0").drop("at").persist()
+    fitted = Stacking({"tree": Recorder(2)}, registry.Logistic(), 3).fit(df, describe(df, 4))
+    assert len(plans) == 4 and not any("Window" in p for p, _ in plans)
+    assert all(n == 1 for _, n in plans)        # one after another
+    assert fitted.predict(df, ["label"]).where("pred = label").count() > 60
